@@ -51,6 +51,10 @@ def measure(texts: list[bytes], bands=BANDS, chunk=CHUNK, chunk_band=CHUNK_BAND,
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=level).compress
+    return [x for a, b in T.slices(texts) for x in _measure(texts[a:b], pack, bands, chunk, chunk_band, within)]
+
+
+def _measure(texts: list[bytes], pack, bands, chunk: int, chunk_band: tuple, within: float) -> list[dict]:
     hashes, at = T.word_hashes(texts, T.NONSPACE, lower=False)
     out = []
     for i, text in enumerate(texts):

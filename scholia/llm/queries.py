@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import language_id, license_scan, packing, quality_classifier, quality_rules, token_counts
+from scholia.llm import decontamination, language_id, license_scan, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, token_counts
 from scholia.llm.tables import table
 
 
@@ -27,10 +27,26 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "chance", "sample_key", "kept")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -38,5 +54,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "language.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_packing, op4_quality_classifier, op7_quality_rules, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_token_counts, op3_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_line_dedup, op7_quality_rules, op9_ngram_jaccard, op10_language_id)
+}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACED_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL = {
+    "op5_benchmark_decontamination": f"""
+        WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        win AS (
+            SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS s
+            FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(p) WHERE len(w) > 0),
+        doc AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+        occurs AS (
+            SELECT doc_id, p, d.k, item FROM (
+                SELECT doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') AS s
+                FROM doc, (SELECT DISTINCT k FROM win) AS ks, unnest(range(1, len(w) - k + 2)) AS t(p)) AS d
+            JOIN win ON win.k = d.k AND win.s = d.s),
+        hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM occurs, unnest(range(p, p + k)) AS t(q) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM occurs) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_line_dedup": f"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        line AS (
+            SELECT doc_id, i, l[i] AS line, {_LOWER.format("trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+            FROM split, unnest(range(1, len(l) + 1)) AS t(i)),
+        gone AS (SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.key IS NULL), '')) AS kept_sha256
+        FROM line LEFT JOIN gone ON line.key = gone.key GROUP BY doc_id""",
+    "op9_ngram_jaccard": f"""
+        WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
+        shingle AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM doc, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        link AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * shared >= 80 * (sa.n + sb.n - shared)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+        FROM documents LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
+}

@@ -156,6 +156,18 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def slices(texts: list[bytes], limit: int = PIECE // 2):
+    """Ranges (a, b) of texts that hold `limit` bytes together, or one text."""
+    a = size = 0
+    for i, text in enumerate(texts):
+        if i > a and size + len(text) > limit:
+            yield a, i
+            a, size = i, 0
+        size += len(text)
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def as_bytes(column) -> list[bytes]:
     """An Arrow binary or string column as bytes; null as empty."""
     return [b"" if x is None else x if isinstance(x, bytes) else x.encode() for x in column.to_pylist()]
