@@ -25,17 +25,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
 from scholia.llm.components import components
+from scholia.llm.idfilter import IdFilter
 from scholia.llm.tables import written
 
 N, PERCENT = 5, 80
 SKETCH = 1 << 17
-#: Bits of the filter that says which documents' rows are wanted; a fuller filter lets more rows through, never fewer.
-FILTER_BITS = 1 << 23
 SMALL, FIRST_HUBS, MORE = 8, 2, 16
 
 
@@ -106,34 +105,15 @@ def _columns(prefixes: DataFrame, numbers: DataFrame) -> DataFrame:
     return kept.withColumn("rank", rank)
 
 
-def _bit(number: Column) -> Column:
-    return F.pmod(F.xxhash64(number), F.lit(FILTER_BITS)).cast("bigint")
-
-
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the ids in pairs, as 64-bit words; built by the executors."""
-    bits = pairs.select(F.explode(F.array("x", "y")).alias("id")).select(_bit(F.col("id")).alias("bit"))
-    words = bits.selectExpr("cast(bit div 64 as int) AS w", "shiftleft(1L, cast(bit % 64 as int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = words.toArrow()  # FILTER_BITS / 64 rows at most
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[table["w"].to_numpy()] = table["b"].to_numpy()
-    return out
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> DataFrame:
     """Those of the pairs (x, y) of ids that link, by their rows' whole overlap."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(_wanted(pairs))
-
-    def there(column: pa.Array) -> pa.Array:
-        b = column.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[b >> 6] >> (b & 63)) & 1 == 1)
+    wanted = IdFilter(pairs.select(F.explode(F.array("x", "y")).alias("id")), "id")
 
     def whole(column: pa.Array) -> pa.Array:
         return pa.array([r.tobytes() for r in shingle_sets(T.as_bytes(column), n)], pa.binary())
 
-    some = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("_text"), _bit(F.col(doc_id).cast("bigint")).alias("_bit"))
-    some = some.where(F.arrow_udf(there, "boolean")("_bit"))
+    some = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("_text"))
+    some = some.where(wanted.may_hold(F.col("id")))
     rows = some.groupBy("id").agg(F.first("_text").alias("_text")).select("id", F.arrow_udf(whole, "binary")("_text").alias("row"))
     rows = written(rows, "rows")
     left, right = rows.select(F.col("id").alias("x"), F.col("row").alias("row_x")), rows.select(F.col("id").alias("y"), F.col("row").alias("row_y"))

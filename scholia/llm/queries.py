@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontamination, language_id, license_scan, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, token_counts
+from scholia.llm import decontamination, language_id, license_scan, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, suffix_array, token_counts
 from scholia.llm.tables import table
 
 
@@ -43,6 +43,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.suffix_array_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_token_counts, op3_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_line_dedup, op7_quality_rules, op9_ngram_jaccard, op10_language_id)
+    for f in (op1_license_scan, op2_token_counts, op3_packing, op4_quality_classifier, op5_benchmark_decontamination, op6_line_dedup, op7_quality_rules, op8_suffix_array_dedup, op9_ngram_jaccard, op10_language_id)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,6 +94,18 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.key IS NULL), '')) AS kept_sha256
         FROM line LEFT JOIN gone ON line.key = gone.key GROUP BY doc_id""",
+    "op8_suffix_array_dedup": """
+        WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        win AS (SELECT doc_id, p, hex(b)[2 * p - 1:2 * p + 98] AS s FROM doc, unnest(range(1, octet_length(b) - 48)) AS t(p)),
+        first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, q FROM win JOIN first USING (s), unnest(range(p, p + 50)) AS t(q) WHERE doc_id > m),
+        byte AS (SELECT doc_id, q, hex(b)[2 * q - 1:2 * q] AS h FROM doc, unnest(range(1, octet_length(b) + 1)) AS t(q)),
+        marked AS (SELECT byte.doc_id, byte.q, h, gone.q IS NOT NULL AS out FROM byte LEFT JOIN gone ON byte.doc_id = gone.doc_id AND byte.q = gone.q)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM doc LEFT JOIN (
+            SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, count(*) FILTER (WHERE out AND NOT before) AS n_spans, string_agg(h, '' ORDER BY q) FILTER (WHERE NOT out) AS kept
+            FROM (SELECT *, coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY q), false) AS before FROM marked) GROUP BY doc_id) USING (doc_id)""",
     "op9_ngram_jaccard": f"""
         WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
         shingle AS (
