@@ -25,18 +25,20 @@ def _byte_of_character() -> dict[str, int]:
 
 @cache
 def encoder(path: str):
-    """A function from a list of texts to lists of ids. The file's special strings in a text are ordinary text.
+    """A function from a text to its 32-bit ids. The file's special strings in a text are ordinary text.
 
     Where the file is plain byte-level BPE whose ids are the merges' ranks, a faster library reads the same
     vocabulary (equal ids); any other file, and any text on which that fails, goes to the tokenizers library.
     """
-    from tokenizers import Tokenizer
+    library: list = []
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    def plain(text: str) -> np.ndarray:
+        if not library:  # large, and seldom needed
+            from tokenizers import Tokenizer
 
-    def plain(texts: list[str]) -> list:
-        return [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+            library.append(Tokenizer.from_file(path))
+            library[0].encode_special_tokens = True
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as f:
         form = json.load(f)
@@ -52,22 +54,20 @@ def encoder(path: str):
     special = {x["content"] for x in form.get("added_tokens", [])}
     ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def encode(texts: list[str]) -> list:
-        out = []
-        for text in texts:
-            try:
-                out.append(fast(text))
-            except BaseException as e:  # its matcher gives up on some very long runs of one kind
-                if isinstance(e, KeyboardInterrupt | SystemExit):
-                    raise
-                out += plain([text])
-        return out
+    fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast(text, disallowed_special=())
+        except BaseException as e:  # its matcher gives up on some very long runs of one kind
+            if isinstance(e, KeyboardInterrupt | SystemExit):
+                raise
+            return plain(text)
 
     return encode
 
 
 def encode(path: str, texts: list[str | None]) -> list[np.ndarray]:
     """32-bit ids of each text; null as empty."""
-    return [np.array(x, np.uint32) for x in encoder(path)([t or "" for t in texts])]
+    one = encoder(path)
+    return [one(t) if t else np.zeros(0, np.uint32) for t in texts]
