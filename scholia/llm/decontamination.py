@@ -16,7 +16,6 @@ are all found. A document is a row; with more than one block, rows that repeat a
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
+from scholia.llm.tables import fresh
 
 WINDOW, GRAM = 10, 5
 BLOCK = 16 << 20
@@ -161,28 +161,27 @@ def _blocks(items: DataFrame, block: int):
             yield [r["id"] for r in rows], [bytes(r["text"]) for r in rows]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """All columns of docs and the struct `hits` (SCHEMA): places in words, ids as strings, sorted."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, into: str = "hits") -> DataFrame:
+    """All columns of docs and the struct `into` (SCHEMA), which replaces a column of that name: places in words, ids as strings, sorted."""
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).dropna()
     blocks = _blocks(items, block)
-    first = Index.of(*next(blocks))
-    base = docs.withColumn("hits", _column(docs, text, first))
-    more = [docs.select(F.col(doc_id).alias("_doc"), _column(docs, text, Index.of(*b)).alias("h")).where("h.n_hit > 0").select("_doc", "h.spans", "h.items") for b in blocks]
+    base = docs.withColumn(into, _column(docs, text, Index.of(*next(blocks))))
+    doc, spans, items = (fresh(base, x) for x in ("_doc", "_spans", "_items"))
+    more = [docs.select(F.col(doc_id).alias(doc), _column(docs, text, Index.of(*b)).alias("h")).where("h.n_hit > 0").select(doc, "h.spans", "h.items") for b in blocks]
     if not more:
         return base
     rest = more[0]
     for m in more[1:]:
         rest = rest.unionByName(m)
-    rest = rest.groupBy("_doc").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
-    joined = base.join(rest, base[doc_id].eqNullSafe(rest["_doc"]), "left")
-    spans = F.array_sort(F.concat("hits.spans", F.coalesce("_spans", F.array().cast("array<struct<start: bigint, end: bigint>>"))))
-    # Sorted spans are merged where they touch.
-    merged = F.aggregate(spans, F.array().cast("array<struct<start: bigint, end: bigint>>"), lambda out, s: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))))
-    items_ = F.array_sort(F.array_distinct(F.concat("hits.items", F.coalesce("_items", F.array().cast("array<string>")))))
-    joined = joined.withColumn("_merged", merged)
-    n_hit = F.aggregate("_merged", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return joined.withColumn("hits", F.struct(F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_merged").alias("spans"), items_.alias("items"))).drop("_doc", "_spans", "_items", "_merged")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    rest = rest.groupBy(doc).agg(F.flatten(F.collect_list("spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items))
+    joined = base.join(rest, F.col(doc_id).eqNullSafe(F.col(doc)), "left")
+
+    def merge(mine: pa.Array, more_spans: pa.Array, more_items: pa.Array) -> pa.Array:
+        out = []
+        for row, a, b in zip(mine.to_pylist(), more_spans.to_pylist(), more_items.to_pylist(), strict=True):
+            every = [*row["spans"], *(a or ())]
+            s, e = T.runs(T.covered(np.array([x["start"] for x in every], int), np.array([x["end"] for x in every], int), row["n_words"]))
+            out.append(row | {"n_hit": int((e - s).sum()), "spans": [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)], "items": sorted({*row["items"], *(b or ())})})
+        return pa.array(out, _KIND)
+
+    return joined.withColumn(into, F.arrow_udf(merge, SCHEMA)(F.col(into), F.col(spans), F.col(items))).drop(doc, spans, items)

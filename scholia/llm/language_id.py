@@ -154,5 +154,5 @@ def language_column(text: Column, model: Model) -> Column:
 
 
 def language_id(docs: DataFrame, usable: Column, text: str = "text", **columns) -> DataFrame:
-    """All columns of docs and the struct `language` (SCHEMA). A sampling pass and a pass without a shuffle."""
+    """All columns of docs and the struct `language` (SCHEMA), which replaces a column of that name. A sampling pass and a pass without a shuffle."""
     return docs.withColumn("language", language_column(F.col(text), fit(docs, usable, text, **columns)))

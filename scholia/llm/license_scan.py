@@ -226,5 +226,5 @@ def license_column(text: Column) -> Column:
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs and the struct `licence` (SCHEMA). One pass, no shuffle."""
+    """All columns of docs and the struct `licence` (SCHEMA), which replaces a column of that name. One pass, no shuffle."""
     return docs.withColumn("licence", license_column(F.col(text)))

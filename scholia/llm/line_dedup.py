@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
-from scholia.llm.tables import written
+from scholia.llm.tables import fresh, written
 
 LEAST, BATCHES, FANOUT, KEYS_TO_SEND = 10, 4, 2, 500_000
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -129,8 +129,8 @@ def _kept(text: bytes, doomed: np.ndarray) -> dict:
     return {"kept_text": kept.decode("utf-8", "replace"), "n_lines": len(lines), "n_dropped": int(drop.sum())}
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, batches: int = BATCHES, keys_to_send: int = KEYS_TO_SEND) -> DataFrame:
-    """All columns of docs and the struct `lines` (SCHEMA)."""
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, batches: int = BATCHES, keys_to_send: int = KEYS_TO_SEND, into: str = "lines") -> DataFrame:
+    """All columns of docs and the struct `into` (SCHEMA), which replaces a column of that name."""
     doomed = written(frequent_keys(docs, text, least, batches), "frequent")
     raw = F.col(text).cast("binary")
     if doomed.limit(keys_to_send + 1).count() <= keys_to_send:
@@ -142,7 +142,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
         def with_all(column: pa.Array) -> pa.Array:
             return pa.array([_kept(x, sent.value) for x in T.as_bytes(column)], _KIND)
 
-        return docs.withColumn("lines", F.arrow_udf(with_all, SCHEMA)(raw))
+        return docs.withColumn(into, F.arrow_udf(with_all, SCHEMA)(raw))
 
     def hashes(column: pa.Array) -> pa.Array:
         out = [_distinct(line_keys(x)[1]) for x in T.as_bytes(column)]
@@ -154,7 +154,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
             out.append(_kept(x, np.sort(np.array([(k["a"], k["b"]) for k in keys or ()], _PAIR))))
         return pa.array(out, _KIND)
 
-    pairs = docs.select(F.col(doc_id).alias("_doc"), F.explode(F.arrow_udf(hashes, "array<struct<a: bigint, b: bigint>>")(raw)).alias("k")).select("_doc", "k.a", "k.b")
-    lists = pairs.join(doomed, ["a", "b"], "left_semi").groupBy("_doc").agg(F.collect_set(F.struct("a", "b")).alias("_own"))
-    joined = docs.join(lists, docs[doc_id].eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    return joined.withColumn("lines", F.arrow_udf(with_own, SCHEMA)(raw, F.col("_own"))).drop("_own")
+    doc, own = fresh(docs, "_doc"), fresh(docs, "_own")
+    pairs = docs.select(F.col(doc_id).alias(doc), F.explode(F.arrow_udf(hashes, "array<struct<a: bigint, b: bigint>>")(raw)).alias("k")).select(doc, "k.a", "k.b")
+    lists = pairs.join(doomed, ["a", "b"], "left_semi").groupBy(doc).agg(F.collect_set(F.struct("a", "b")).alias(own))
+    joined = docs.join(lists, F.col(doc_id).eqNullSafe(F.col(doc)), "left").drop(doc)
+    return joined.withColumn(into, F.arrow_udf(with_own, SCHEMA)(raw, F.col(own))).drop(own)

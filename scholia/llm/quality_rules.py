@@ -94,5 +94,5 @@ def rule_column(text: Column, **options) -> Column:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """All columns of docs and the struct `rules` (SCHEMA). One pass, no shuffle."""
+    """All columns of docs and the struct `rules` (SCHEMA), which replaces a column of that name. One pass, no shuffle."""
     return docs.withColumn("rules", rule_column(F.col(text), **options))

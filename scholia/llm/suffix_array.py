@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
 from scholia.llm.idfilter import IdFilter
-from scholia.llm.tables import written
+from scholia.llm.tables import fresh, written
 
 SPAN, GRAM, SLICE = 50, 12, 2 << 20
 #: Runs of one gram that step 2 compares at once; those of a gram with more all go to step 4.
@@ -272,8 +272,8 @@ def cut(text: bytes, spans: list[dict] | None) -> dict:
     return {"kept": np.frombuffer(text, np.uint8)[~gone].tobytes(), "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": len(T.runs(gone)[0])}
 
 
-def suffix_array_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN) -> DataFrame:
-    """All columns of docs and the struct `repeats` (SCHEMA). doc_id is an integer; span is at least 44."""
+def suffix_array_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, into: str = "repeats") -> DataFrame:
+    """All columns of docs and the struct `into` (SCHEMA), which replaces a column of that name. doc_id is an integer; span is at least 44."""
 
     def apply(column: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([cut(x, s) for x, s in zip(T.as_bytes(column), spans.to_pylist(), strict=True)], _KIND)
@@ -281,12 +281,12 @@ def suffix_array_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     def whole(column: pa.Array) -> pa.Array:
         return pa.array([cut(x, None) for x in T.as_bytes(column)], _KIND)
 
-    raw = F.col(text).cast("binary")
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc"), raw.alias("raw")).where(F.col("doc").isNotNull() & F.col("raw").isNotNull())
-    spans = written(repeats(base, span).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "spans").withColumnRenamed("doc", "_doc")
+    raw, number = F.col(text).cast("binary"), F.col(doc_id).cast("bigint")
+    base = docs.select(number.alias("doc"), raw.alias("raw")).where(F.col("doc").isNotNull() & F.col("raw").isNotNull())
+    doc, own, held = (fresh(docs, x) for x in ("_doc", "_spans", "_held"))
+    spans = written(repeats(base, span).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias(own)), "spans").withColumnRenamed("doc", doc)
     # Documents that have no repeats stay where they are; the others meet their spans.
-    held = F.coalesce(IdFilter(spans, "_doc").may_hold(F.col(doc_id).cast("bigint")), F.lit(False)) & F.col(doc_id).isNotNull()
-    marked = docs.withColumn("_held", held)
-    hit = marked.where("_held").join(spans, F.col(doc_id).cast("bigint") == F.col("_doc"), "left").withColumn("repeats", F.arrow_udf(apply, SCHEMA)(raw, F.col("_spans")))
-    rest = marked.where("NOT _held").withColumn("repeats", F.arrow_udf(whole, SCHEMA)(raw))
-    return hit.drop("_held", "_doc", "_spans").unionByName(rest.drop("_held"))
+    marked = docs.withColumn(held, F.coalesce(IdFilter(spans, doc).may_hold(number), F.lit(False)) & number.isNotNull())
+    hit = marked.where(F.col(held)).join(spans, number == F.col(doc), "left").withColumn(into, F.arrow_udf(apply, SCHEMA)(raw, F.col(own)))
+    rest = marked.where(~F.col(held)).withColumn(into, F.arrow_udf(whole, SCHEMA)(raw))
+    return hit.drop(held, doc, own).unionByName(rest.drop(held))
