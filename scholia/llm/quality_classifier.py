@@ -111,6 +111,9 @@ class Model:
     def log_weights(self, texts: list[bytes]) -> np.ndarray:
         if not self.known:
             return np.zeros(len(texts))
+        return np.concatenate([self._log_weights(texts[a:b]) for a, b in T.slices(texts)] or [np.zeros(0)])
+
+    def _log_weights(self, texts: list[bytes]) -> np.ndarray:
         numbers, at = buckets(texts)
         sums = [np.diff(np.r_[0.0, np.cumsum(x[numbers])][at]) for x in self.logs]
         terms = np.array([np.log(share) + s for s, share in zip(sums, self.shares, strict=True) if share > 0])
@@ -184,13 +187,20 @@ class Sampler:
     expected: int
 
     def columns(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """docs with log_weight, chance (of being target text), sample_key and kept."""
+        """docs with log_weight, chance (of being target text), sample_key and kept, which replace columns of these names."""
         out = docs.withColumn("log_weight", weight_column(F.col(text), self.model))
         out = out.withColumn("chance", F.lit(float(self.model.shares[0])) * F.exp("log_weight") if self.model.known else F.lit(1.0))
         out = out.withColumn("sample_key", key_column(F.col("log_weight"), F.col(doc_id)))
         return out.withColumn("kept", F.col("sample_key") >= F.lit(self.cut) if self.cut is not None and self.model.known else F.lit(not self.model.known))
 
 
+    def keep(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        """The sampled rows of docs."""
+        if not self.model.known:
+            return docs
+        return docs.where(key_column(weight_column(F.col(text), self.model), F.col(doc_id)) >= F.lit(self.cut)) if self.cut is not None else docs.limit(0)
+
+
 def key_column(log_weight: Column, doc_id: Column) -> Column:
     """Order-keeping long; weights beyond +-1e8 are as good as that."""
     return F.floor((F.greatest(F.lit(-1e8), F.least(F.lit(1e8), F.lit(SHARPNESS) * log_weight)) + gumbel(doc_id)) * F.lit(_KEY_STEPS)).cast("bigint")

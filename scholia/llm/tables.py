@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 _local: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch, where the session keeps Spark's default of 64 MB: workers hold a few arrays per byte of a batch.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 U64 = np.uint64
 _BASE, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
