@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from scholia.llm import textnum as T
 from scholia.llm.components import components
 from scholia.llm.idfilter import IdFilter
-from scholia.llm.tables import written
+from scholia.llm.tables import fresh, written
 
 N, PERCENT = 5, 80
 SKETCH = 1 << 17
@@ -138,6 +138,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int,
     return joined.mapInArrow(overlap, "x bigint, y bigint")
 
 
+def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs without those that aren't the first of their component. Rows that share a doc_id, and rows without one, stay."""
+    found = ngram_jaccard(docs, text, doc_id, **options)
+    gone = written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(fresh(docs, "_gone"))).distinct(), "gone")
+    name, number = gone.columns[0], F.col(doc_id).cast("bigint")
+    # Only rows that may have to go are shuffled.
+    maybe = F.coalesce(IdFilter(gone, name).may_hold(number), F.lit(False))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, number == F.col(name), "left_anti"))
+
+
 def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark = docs.sparkSession
