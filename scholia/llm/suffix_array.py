@@ -9,12 +9,12 @@ without losing a repeat: each span-byte window stands for the place of its least
 in equal windows, and the consecutive windows of one place form a run, one row. The steps are
 
 1. 12 bytes: Spark sorts the runs by the gram at their place. A gram of one document only is retired.
-2. 31 bytes: the gram doubled to the left or to the right. Equal windows agree in one of the two; runs that
-   agree with no other run of their gram in either are retired.
-3. the run's whole content (all of its windows): equal runs form a class. All but those of the class's first document are
+2. the run's whole content (all of its windows): equal runs form a class. All but those of the class's first document are
    repeats.
-4. `span` bytes: what is left, a row for each class whose gram stands in several contexts (the edges of repeats),
-   is expanded into windows, which Spark sorts by their content; again all but the first document's are repeats.
+3. 40 bytes: the gram extended to the left, to the right, or to both in one of two ways. Equal windows agree in the way
+   that their gram's place in the window calls for; windows that agree so with no other class of their gram are retired.
+4. `span` bytes: what is left (the edges of repeats) is expanded into windows, which Spark sorts by their content; again
+   all but the first document's are repeats.
 
 Equal runs inside a task's slice of SLICE bytes are settled there, so a group of copies sends a row for each
 slice, not for each copy. No group is collected: a task reads its sorted rows as a stream.
@@ -35,14 +35,24 @@ from scholia.llm import textnum as T
 from scholia.llm.idfilter import IdFilter
 from scholia.llm.tables import fresh, written
 
-SPAN, GRAM, SLICE = 50, 12, 2 << 20
-#: Runs of one gram that step 2 compares at once; those of a gram with more all go to step 4.
+SPAN, GRAM, SLICE = 50, 12, 1 << 19
+#: Runs of one gram that step 3 compares at once; those of a gram with more all go to step 4.
 HELD = 50_000
-_PLACE = (1 << 22) - 1
-_SETTLED = 0x80
+#: Windows that step 4 settles at once in a task.
+WINDOWS = 250_000
+_PLACE = (1 << 22) - 1  # of a slice, which is shorter
 _SCHEMA = "gram bigint, rank bigint, doc bigint, place bigint"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-#: place: start << 24 | windows (7 bits; _SETTLED: a repeat already, with its length in rank) << 16 | left agreement; rank: content << 16 | right agreement.
+#: place: start << 32 | settled (a repeat already, its length in rank) << 31 | windows << 25 | bytes before the gram in the first << 19 | agreements 2 and 3 (9 bits each);
+#: rank: 36 bits of the content, agreements 0 and 1 (14 bits each). An agreement is 0 where the run doesn't reach so far.
+_SETTLED = 1 << 31
+
+
+def _ways(span: int) -> list[tuple[int, int, int, int, int]]:
+    """(bytes to the left, to the right, least and largest number of bytes before the gram for which it counts, bits)."""
+    rest = span - GRAM
+    q = [rest * i // 4 for i in range(5)]
+    return [(q[i], rest - q[i + 1], q[i], q[i + 1] - (i < 3), bits) for i, bits in ((0, 14), (1, 14), (2, 9), (3, 9))]
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -79,18 +89,25 @@ def sampled(docs: list[tuple[int, bytes, int]], span: int) -> dict[str, np.ndarr
     start, place = win[first], at[first]
     run = T.prefix(buf)
     end = start + n - 1 + span
-    half = (span - GRAM) // 2
-
-    def near(a: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """16 bits of the content, 0 where the run doesn't reach so far."""
-        a, b = np.where(there, a, 0), np.where(there, b, 0)
-        return np.where(there, (T.substring(run, a, b) % np.uint64(65535) + np.uint64(1)).astype(np.int64), 0)
-
-    left = near(place - half, place, place - start >= half)
-    right = near(place + GRAM, place + GRAM + half, end - place - GRAM >= half)
+    before = place - start
+    marks = []
+    for left, right, _, most, bits in _ways(span):
+        # The way counts for windows with `least` to `most` bytes before the gram; the run must reach as far as the way does.
+        there = (before >= left) & (end - place - GRAM >= right)
+        a, b = np.where(there, place - left, 0), np.where(there, place + GRAM + right, 0)
+        marks.append(np.where(there, (T.substring(run, a, b) % np.uint64((1 << bits) - 1)).astype(np.int64) + 1, 0))
+    rank = ((T.substring(run, start, end) >> np.uint64(28)) << np.uint64(28)).astype(np.int64) | marks[0] << 14 | marks[1]
     part = np.searchsorted(ends, start, "right")
     doc, base = np.array([d for d, _, _ in docs])[part], (np.array([b for _, _, b in docs]) - (ends - sizes))[part]
-    return {"gram": g[place].astype(np.int64), "rank": (T.substring(run, start, end) << np.uint64(16)).astype(np.int64) | right, "doc": doc, "start": start + base, "n": n, "left": left}
+    return {"gram": g[place].astype(np.int64), "rank": rank, "doc": doc, "start": start + base, "low": n << 25 | before << 19 | marks[2] << 9 | marks[3]}
+
+
+def _start(place: np.ndarray) -> np.ndarray:
+    return place >> 32
+
+
+def _n(place: np.ndarray) -> np.ndarray:
+    return place >> 25 & 63
 
 
 def _runs_of(docs: list[tuple[int, bytes, int]], span: int) -> list[np.ndarray] | None:
@@ -100,23 +117,27 @@ def _runs_of(docs: list[tuple[int, bytes, int]], span: int) -> list[np.ndarray]
         return None
     order = np.lexsort((r["start"], r["doc"], r["rank"], r["gram"]))
     r = {k: x[order] for k, x in r.items()}
-    new = np.r_[True, (r["gram"][1:] != r["gram"][:-1]) | (r["rank"][1:] != r["rank"][:-1])]
-    first = r["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    keep = r["doc"] == first
-    place = r["start"] << 24 | r["n"] << 16 | r["left"]
-    out = [r["gram"][keep], r["rank"][keep], r["doc"][keep], place[keep]]
-    if not keep.all():
-        doc, a = r["doc"][~keep], r["start"][~keep]
-        b = a + r["n"][~keep] - 1 + span
-        order = np.lexsort((a, doc))
-        doc, a, b = doc[order], a[order], b[order]
-        far = np.maximum.accumulate(b + (np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 40)) & ((1 << 40) - 1)
-        head = np.r_[True, (doc[1:] != doc[:-1]) | (a[1:] > far[:-1])]
-        last = np.r_[np.flatnonzero(head)[1:] - 1, len(a) - 1]
-        doc, a, b = doc[head], a[head], far[last]
-        settled = [T.mix((a * 31 + doc).astype(np.uint64)).astype(np.int64), b - a, doc, a << 24 | _SETTLED << 16]
-        out = [np.concatenate(x) for x in zip(out, settled, strict=True)]
-    return out
+    return _first_and_settled(r["gram"], r["rank"], r["doc"], r["start"] << 32 | r["low"], _n(r["low"]) - 1 + span)
+
+
+def _first_and_settled(gram: np.ndarray, rank: np.ndarray, doc: np.ndarray, place: np.ndarray, length: np.ndarray | int) -> list[np.ndarray]:
+    """Of rows sorted by gram, rank, doc: those of each class's first document; the bytes of the others, merged, as settled rows."""
+    new = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
+    keep = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = [gram[keep], rank[keep], doc[keep], place[keep]]
+    if keep.all():
+        return out
+    doc, a = doc[~keep], place[~keep] >> 32
+    b = a + np.broadcast_to(length, keep.shape)[~keep]
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    far = np.maximum.accumulate(b + (np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 40)) & ((1 << 40) - 1)
+    head = np.r_[True, (doc[1:] != doc[:-1]) | (a[1:] > far[:-1])]
+    last = np.r_[np.flatnonzero(head)[1:] - 1, len(a) - 1]
+    doc, a, b = doc[head], a[head], far[last]
+    # A hash of the place in the gram's stead deals them evenly.
+    settled = [T.mix((a * 31 + doc).astype(np.uint64)).astype(np.int64), b - a, doc, a << 32 | _SETTLED]
+    return [np.concatenate(x) for x in zip(out, settled, strict=True)]
 
 
 def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -158,34 +179,39 @@ def _classes(batches, span: int):
         return _batch([np.full(len(gram), kind, np.int32), gram, doc, start, n], _FOUND_NAMES)
 
     def settle(held: list[np.ndarray], everything: bool):
-        """Step 2 over the first documents' rows of whole grams."""
+        """Step 3 over the first documents' rows of whole grams."""
         gram, rank, doc, place = held
-        content, left, right = rank >> 16, place & 0xFFFF, rank & 0xFFFF
-        go = np.full(len(gram), everything)
-        for side in () if everything else (left, right):
-            order = np.lexsort((content, side, gram))
-            g, s, c = gram[order], side[order], content[order]
+        if everything:
+            return rows(OPEN, gram, doc, _start(place), _n(place))
+        before, out = place >> 19 & 63, []
+        for (_, _, least, most, _), mark in zip(_ways(span), (rank >> 14 & 0x3FFF, rank & 0x3FFF, place >> 9 & 0x1FF, place & 0x1FF), strict=True):
+            order = np.lexsort((rank, mark, gram))
+            g, s, c = gram[order], mark[order], rank[order]
             group = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (s[1:] != s[:-1])][: len(g)])
             more = np.r_[False, (c[1:] != c[:-1]) & (group[1:] == group[:-1])][: len(g)]
-            go[order] |= (np.bincount(group, more) > 0)[group] & (s > 0)
-        return rows(OPEN, gram[go], doc[go], place[go] >> 24, place[go] >> 16 & 0x7F)
+            go = order[(np.bincount(group, more) > 0)[group] & (s > 0)]
+            # The windows with least to most bytes before the gram, of those that the run has.
+            a = np.maximum(0, before[go] - most)
+            b = np.minimum(_n(place[go]), before[go] - least + 1)
+            go, a, b = go[b > a], a[b > a], b[b > a]
+            out.append((gram[go], doc[go], _start(place[go]) + a, b - a))
+        return rows(OPEN, *(np.concatenate(x) for x in zip(*out, strict=True)))
 
     for batch in batches:
         gram, rank, doc, place = (c.to_numpy() for c in batch.columns)
-        done = (place >> 16 & _SETTLED) > 0
+        done = (place & _SETTLED) > 0
         if done.any():
-            yield rows(REPEAT, gram[done], doc[done], place[done] >> 24, rank[done])
+            yield rows(REPEAT, gram[done], doc[done], _start(place[done]), rank[done])
             gram, rank, doc, place = (x[~done] for x in (gram, rank, doc, place))
         if not len(gram):
             continue
-        content = rank >> 16
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
         first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        if key and key[:2] == (gram[0], content[0]):
+        if key and key[:2] == (gram[0], rank[0]):
             first[: np.append(np.flatnonzero(new)[1:], len(new))[0]] = key[2]
-        key = (gram[-1], content[-1], first[-1])
+        key = (gram[-1], rank[-1], first[-1])
         again = doc > first
-        yield rows(REPEAT, gram[again], doc[again], place[again] >> 24, (place[again] >> 16 & 0x7F) - 1 + span)
+        yield rows(REPEAT, gram[again], doc[again], _start(place[again]), _n(place[again]) - 1 + span)
         own = [x[~again] for x in (gram, rank, doc, place)]
         if not len(own[0]):
             continue
@@ -210,23 +236,39 @@ def _classes(batches, span: int):
 
 
 def _windows(opened: DataFrame, span: int) -> DataFrame:
-    """opened: (doc, raw, runs). Step 4's rows: gram, rank (a window's hash), doc, place (its start)."""
+    """opened: (doc, packed text, runs). Step 4's rows: gram, rank (a window's hash), doc, place (its start); settled in a task as runs are."""
+
+    def of(doc: int, text: bytes, own: list[dict]):
+        own.sort(key=lambda r: r["start"])
+        while own:  # runs within SLICE bytes of the first
+            base = own[0]["start"]
+            near = own[: np.searchsorted([r["start"] for r in own], base + SLICE)]
+            own = own[len(near) :]
+            buf = np.frombuffer(text, np.uint8, min(SLICE + 2 * span, len(text) - base), base)
+            n = np.array([r["n"] for r in near])
+            start = np.repeat(np.array([r["start"] for r in near]) - base - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            yield np.repeat(np.array([r["gram"] for r in near]), n), T.substring(T.prefix(buf), start, start + span).astype(np.int64), np.full(len(start), doc), start + base << 32
+
+    def flushed(held: list):
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+        return _batch(_first_and_settled(*(x[order] for x in rows), span), _NAMES)
 
     def expand(batches):
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
+        held, size = [], 0
         for batch in batches:
-            for doc, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own.sort(key=lambda r: r["start"])
-                for k in range(0, len(own), 4096):
-                    part = own[k : k + 4096]
-                    base = part[0]["start"]
-                    while part:  # runs within SLICE bytes of the first
-                        near = [r for r in part if r["start"] - base <= SLICE]
-                        part = part[len(near) :]
-                        buf = np.frombuffer(text, np.uint8, min(SLICE + 2 * span + 128, len(text) - base), base)
-                        n = np.array([r["n"] for r in near])
-                        start = np.repeat(np.array([r["start"] for r in near]) - base - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                        yield _batch([np.repeat(np.array([r["gram"] for r in near]), n), T.substring(T.prefix(buf), start, start + span).astype(np.int64), np.full(len(start), doc), start + base], _NAMES)
-                        base = part[0]["start"] if part else 0
+            for doc, packed, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for part in of(doc, unpack(packed), own):
+                    held.append(part)
+                    size += len(part[0])
+                    if size > WINDOWS:
+                        yield flushed(held)
+                        held, size = [], 0
+        if held:
+            yield flushed(held)
 
     return opened.mapInArrow(expand, _SCHEMA)
 
@@ -236,6 +278,10 @@ def _later(batches, span: int):
     key = None
     for batch in batches:
         gram, rank, doc, place = (c.to_numpy() for c in batch.columns)
+        done = (place & _SETTLED) > 0
+        if done.any():
+            yield _batch([doc[done], _start(place[done]), rank[done]], ["doc", "start", "n"])
+            gram, rank, doc, place = (x[~done] for x in (gram, rank, doc, place))
         if not len(gram):
             continue
         new = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
@@ -244,31 +290,38 @@ def _later(batches, span: int):
             first[: np.append(np.flatnonzero(new)[1:], len(new))[0]] = key[2]
         key = (gram[-1], rank[-1], first[-1])
         again = doc > first
-        yield _batch([doc[again], place[again], np.full(int(again.sum()), span)], ["doc", "start", "n"])
+        yield _batch([doc[again], _start(place[again]), np.full(int(again.sum()), span)], ["doc", "start", "n"])
+
+
+def _packed(column: pa.Array) -> pa.Array:
+    from zstandard import ZstdCompressor
+
+    return pa.array(list(map(ZstdCompressor(level=1).compress, T.as_bytes(column))), pa.binary())
 
 
 def repeats(docs: DataFrame, span: int) -> DataFrame:
-    """docs: (doc, raw). (doc, start, n): bytes of repeats; they may overlap."""
+    """docs: (doc, raw). (doc, span): bytes of repeats, start << 32 | length; they may overlap."""
     by_rank = ("gram", "rank", "doc")
-    ranked = runs(docs, span).repartition("gram").sortWithinPartitions(*by_rank)
-    found = written(ranked.mapInArrow(lambda batches: _classes(batches, span), _FOUND), "classes")
+    found = written(runs(docs, span).repartition("gram").sortWithinPartitions(*by_rank).mapInArrow(lambda batches: _classes(batches, span), _FOUND), "classes")
     opened = found.where(F.col("kind") == OPEN)
     lists = opened.groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "n")).alias("runs"))
     some = docs.where(IdFilter(opened, "doc").may_hold(F.col("doc")))
-    windows = _windows(some.join(lists, "doc").select("doc", "raw", "runs"), span).repartition("gram", "rank").sortWithinPartitions(*by_rank)
+    packed = F.arrow_udf(_packed, "binary")("raw").alias("packed")  # text is shuffled compressed
+    windows = _windows(some.select("doc", packed).join(lists, "doc").select("doc", "packed", "runs"), span).repartition("gram", "rank").sortWithinPartitions(*by_rank)
     edges = windows.mapInArrow(lambda batches: _later(batches, span), "doc bigint, start bigint, n bigint")
-    return found.where(F.col("kind") == REPEAT).select("doc", "start", "n").unionByName(edges)
+    both = found.where(F.col("kind") == REPEAT).select("doc", "start", "n").unionByName(edges)
+    return both.select("doc", (F.shiftleft("start", 32).bitwiseOR(F.col("n"))).alias("span"))
 
 
 SCHEMA = "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
 _KIND = pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
 
-def cut(text: bytes, spans: list[dict] | None) -> dict:
+def cut(text: bytes, spans: list[int] | None) -> dict:
     if not spans:
         return {"kept": text, "n_bytes": len(text), "n_removed": 0, "n_spans": 0}
-    a = np.array([s["start"] for s in spans])
-    gone = T.covered(a, a + np.array([s["n"] for s in spans]), len(text))
+    spans = np.array(spans, np.int64)
+    gone = T.covered(spans >> 32, (spans >> 32) + (spans & 0xFFFFFFFF), len(text))
     return {"kept": np.frombuffer(text, np.uint8)[~gone].tobytes(), "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": len(T.runs(gone)[0])}
 
 
@@ -284,7 +337,7 @@ def suffix_array_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     raw, number = F.col(text).cast("binary"), F.col(doc_id).cast("bigint")
     base = docs.select(number.alias("doc"), raw.alias("raw")).where(F.col("doc").isNotNull() & F.col("raw").isNotNull())
     doc, own, held = (fresh(docs, x) for x in ("_doc", "_spans", "_held"))
-    spans = written(repeats(base, span).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias(own)), "spans").withColumnRenamed("doc", doc)
+    spans = written(repeats(base, span).groupBy("doc").agg(F.collect_list("span").alias(own)), "spans").withColumnRenamed("doc", doc)
     # Documents that have no repeats stay where they are; the others meet their spans.
     marked = docs.withColumn(held, F.coalesce(IdFilter(spans, doc).may_hold(number), F.lit(False)) & number.isNotNull())
     hit = marked.where(F.col(held)).join(spans, number == F.col(doc), "left").withColumn(into, F.arrow_udf(apply, SCHEMA)(raw, F.col(own)))
