@@ -72,8 +72,9 @@ class SortedRuns:
 
     def _put(self, level: int, run: DataFrame) -> None:
         self.levels.setdefault(level, []).append(written(self._sorted(run), f"run{level}"))
-        if len(self.levels[level]) >= self.fanout:
+        while len(self.levels.get(level, ())) >= self.fanout:
             self._compact([level], level + 1)
+            level += 1
 
     def _compact(self, levels: list[int], to: int) -> None:
         runs = [r for x in levels for r in self.levels.pop(x, [])]
