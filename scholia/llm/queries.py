@@ -94,18 +94,19 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.key IS NULL), '')) AS kept_sha256
         FROM line LEFT JOIN gone ON line.key = gone.key GROUP BY doc_id""",
+    # Bytes as hexadecimal digits, two each. A repeated window covers 50 bytes from p on; q is the repeated window before it.
     "op8_suffix_array_dedup": """
-        WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-        win AS (SELECT doc_id, p, hex(b)[2 * p - 1:2 * p + 98] AS s FROM doc, unnest(range(1, octet_length(b) - 48)) AS t(p)),
+        WITH doc AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        win AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM doc, unnest(range(0, n - 49)) AS t(p)),
         first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
-        gone AS (SELECT DISTINCT doc_id, q FROM win JOIN first USING (s), unnest(range(p, p + 50)) AS t(q) WHERE doc_id > m),
-        byte AS (SELECT doc_id, q, hex(b)[2 * q - 1:2 * q] AS h FROM doc, unnest(range(1, octet_length(b) + 1)) AS t(q)),
-        marked AS (SELECT byte.doc_id, byte.q, h, gone.q IS NOT NULL AS out FROM byte LEFT JOIN gone ON byte.doc_id = gone.doc_id AND byte.q = gone.q)
-        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-        FROM doc LEFT JOIN (
-            SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, count(*) FILTER (WHERE out AND NOT before) AS n_spans, string_agg(h, '' ORDER BY q) FILTER (WHERE NOT out) AS kept
-            FROM (SELECT *, coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY q), false) AS before FROM marked) GROUP BY doc_id) USING (doc_id)""",
+        dup AS MATERIALIZED (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM win JOIN first USING (s) WHERE doc_id > m),
+        total AS (SELECT doc_id, sum(least(50, p - coalesce(q, p - 50))) AS n_removed, count(*) FILTER (WHERE q IS NULL OR p > q + 50) AS n_spans FROM dup GROUP BY doc_id),
+        piece AS (
+            SELECT doc_id, coalesce(q + 50, 0) AS a, p AS b FROM dup WHERE q IS NULL OR p > q + 50
+            UNION ALL SELECT doc_id, max(p) + 50, 1000000000 FROM dup GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (least(b, n) - a)), '' ORDER BY a) AS k FROM piece JOIN doc USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM doc LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op9_ngram_jaccard": f"""
         WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
         shingle AS (
