@@ -8,12 +8,14 @@ of the matrix times its transpose, of which only these are computed:
 * Rows linked at 0.8 share one of the first n/5 + 1 of their n shingles, in any order common to all rows. The order
   is rare first, by a count sketch of fixed size, so that frequent shingles are left out wherever a row has others.
   Only those columns are multiplied to find candidates; columns of equal rows are multiplied once.
-* A pair is discarded where the smaller row has under 0.8 of the larger one's shingles.
+* A pair is discarded where the smaller row has under 0.8 of the larger one's shingles, or where bitmaps of the
+  rows differ in more bits than linked rows of such sizes differ in shingles.
 * Candidates' overlaps are accumulated over their whole rows, a block of pairs at a time.
 
-A column of m rows isn't multiplied in full. Its rows are ordered by size; blocks of hub rows are multiplied with the
-rows behind them, and rows already in one component aren't compared any more. This goes on until each column's rows
-are in one component or all its pairs are done, so no link that matters to a component is lost.
+A column of m rows isn't multiplied in full at once. First its rows meet two hub rows, and the links found join
+components. Then, in columns whose rows aren't all in one component, blocks of BLOCK rows meet each other inside a task,
+by their bitmaps; only pairs that are in different components and may link leave the task. No link that matters to a
+component is lost, and a group of near copies costs a row or two for each of them, not for each pair.
 
 Null and empty texts have no shingles and link with nothing: they are their own component. With fewer than five
 words, the whole sequence is one shingle. Rows that repeat a doc_id get equal results; a null doc_id is never
@@ -35,7 +37,11 @@ from scholia.llm.tables import fresh, written
 
 N, PERCENT = 5, 80
 SKETCH = 1 << 17
-SMALL, FIRST_HUBS, MORE = 8, 2, 16
+BLOCK = 1024
+#: Entries of a block of the product.
+ENTRIES = 400_000
+#: Bits of a row's bitmap: two rows differ in as many shingles, at least, as their bitmaps in bits.
+BITMAP = 2048
 
 
 def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
@@ -65,10 +71,11 @@ def _described(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
             small = [r for r in rows if len(r) <= SKETCH // 64]
             if small:
                 sketch += np.bincount((np.concatenate(small) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch.column(0), pa.array([set_number(r) for r in rows], pa.int64()), pa.array([len(r) for r in rows], pa.int64())], names=["kind", "doc_id", "k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch.column(0), pa.array([set_number(r) for r in rows], pa.int64()), pa.array([len(r) for r in rows], pa.int64())], names=names)
         at = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(sketch[at])], names=["kind", "doc_id", "k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(sketch[at])], names=names)
 
+    names = ["kind", "doc_id", "k", "v"]
     return columns.mapInArrow(run, "kind int, doc_id bigint, k bigint, v bigint")
 
 
@@ -98,6 +105,9 @@ def _prefixes(docs: DataFrame, text: str, sent, n: int, percent: int) -> DataFra
 def _columns(prefixes: DataFrame, numbers: DataFrame) -> DataFrame:
     """(shingle, node, size, rank, m): columns that two rows or more share, one of those of equal rows."""
     rows = prefixes.repartition(F.col("shingle")).groupBy("shingle", "k").agg(F.first("size").alias("size"))
+    column = Window.partitionBy("shingle").orderBy("k")
+    shared = rows.withColumn("near", F.coalesce(F.lag("k").over(column), F.lead("k").over(column))).where("near IS NOT NULL")
+    rows = written(shared.select("shingle", "k", "size"), "shared")
     marks = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "k")).alias("y")).where("m > 1")
     one = marks.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", "m")
     kept = rows.join(one, "shingle").join(numbers, "k").select("shingle", "node", "size", "m")
@@ -105,35 +115,132 @@ def _columns(prefixes: DataFrame, numbers: DataFrame) -> DataFrame:
     return kept.withColumn("rank", rank)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (x, y) of ids that link, by their rows' whole overlap."""
-    wanted = IdFilter(pairs.select(F.explode(F.array("x", "y")).alias("id")), "id")
+def bitmap(row: np.ndarray, size: int = BITMAP) -> bytes:
+    bits = np.zeros(size, np.uint8)
+    bits[(row >> np.uint64(20)) % np.uint64(size)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _fine(n: int) -> int:
+    """Bits in proportion to a row's size: a power of two."""
+    return 1 << max(8, (4 * n).bit_length())
+
+
+def _folded(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps brought to the smaller one's size; they still differ in no more places than the rows."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    least = min(len(x), len(y))
+    return np.bitwise_or.reduce(x.reshape(-1, least), 0), np.bitwise_or.reduce(y.reshape(-1, least), 0)
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and bitmaps allow a link. With overlap o and union u = sizes - o, o >= percent * u / 100 leaves
+    u - o <= sizes * (100 - percent) / (100 + percent)."""
+    sizes = size_a + size_b
+    ok = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    return ok & ((100 + percent) * np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= (100 - percent) * sizes)
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITMAP // 64)
+
+
+def _with_hubs(columns: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of a column's least and middle row with its other rows, as far as their sizes allow a link."""
+    hubs = columns.where("rank = 0 OR rank = m div 2").select("shingle", F.col("node").alias("hub"), F.col("size").alias("hub_size"))
+    met = hubs.join(columns, "shingle").where((F.col("node") != F.col("hub")) & (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")))
+    return met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+
+
+def _in_blocks(columns: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of a column's rows that are in different components and may link. columns: with label and bits."""
+    own = F.expr(f"rank div {BLOCK}")
+    rows = columns.withColumn("own", own).withColumn("other", F.explode(F.expr(f"sequence(0L, (m - 1) div {BLOCK})")))
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "label", "bits")
+    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
-    def whole(column: pa.Array) -> pa.Array:
-        return pa.array([r.tobytes() for r in shingle_sets(T.as_bytes(column), n)], pa.binary())
+    def multiply(block: pa.Table):
+        i, j, own = block["i"][0].as_py(), block["j"][0].as_py(), block["own"].to_numpy()
+        node, size, label, bits = block["node"].to_numpy(), block["size"].to_numpy(), block["label"].to_numpy(), _words(block["bits"].combine_chunks())
+        for a in range(len(node)):
+            if own[a] != i:
+                continue
+            with_ = np.flatnonzero((own == j) & (label != label[a]) & ((np.arange(len(node)) > a) | (i != j)))
+            if len(with_):
+                with_ = with_[_may_link(bits[a], bits[with_], size[a], size[with_], percent)]
+                yield from ((min(node[a], node[b]), max(node[a], node[b])) for b in with_)
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def closed(found):
+            found = sorted(set(found))
+            return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], names=["x", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            found: list = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if waiting and tuple(waiting[-1].column(c)[-1].as_py() for c in range(3)) != tuple(key[a]):
+                    found += multiply(pa.Table.from_batches(waiting))
+                    waiting = []
+                waiting.append(batch.slice(a, b - a))
+            yield closed(found)
+        if waiting:
+            yield closed(multiply(pa.Table.from_batches(waiting)))
+
+    return rows.mapInArrow(run, "x bigint, y bigint").distinct()
+
+
+def _of_nodes(nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, what: str, describe) -> DataFrame:
+    """(id, r) of the nodes (id): describe() of their sorted shingles. Only their texts are shuffled and hashed."""
+    wanted = IdFilter(nodes, "id")
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(list(map(describe, shingle_sets(T.as_bytes(column), n))), pa.struct([(c, pa.int64() if c == "size" else pa.binary()) for c in (x.split()[0] for x in what.split(", "))]))
 
     some = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("_text"))
-    some = some.where(wanted.may_hold(F.col("id")))
-    rows = some.groupBy("id").agg(F.first("_text").alias("_text")).select("id", F.arrow_udf(whole, "binary")("_text").alias("row"))
-    rows = written(rows, "rows")
-    left, right = rows.select(F.col("id").alias("x"), F.col("row").alias("row_x")), rows.select(F.col("id").alias("y"), F.col("row").alias("row_y"))
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "row_x", "row_y")
+    some = some.where(wanted.may_hold(F.col("id"))).join(nodes, "id", "left_semi")
+    return some.groupBy("id").agg(F.first("_text").alias("_text")).select("id", F.arrow_udf(run, what)("_text").alias("r")).select("id", "r.*")
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, rows_of, percent: int) -> DataFrame:
+    """Those of the pairs (x, y) of ids that link, by their rows' whole overlap."""
+
+    def near(batches):
+        for batch in batches:
+            fine = [_folded(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            sizes = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            ok = pa.array([bool(_may_link(a, b, i, j, percent)) for (a, b), (i, j) in zip(fine, sizes, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["x", "y"])
+
+    # First by bitmaps in proportion to the rows, a sixteenth of their size; then by the rows.
+    fine_x, fine_y = (marks.select(F.col("id").alias(s), F.col("fine").alias(f"fine_{s}"), F.col("size").alias(f"size_{s}")) for s in "xy")
+    left = written(pairs.join(fine_x, "x").join(fine_y, "y").select("x", "y", "fine_x", "size_x", "fine_y", "size_y").mapInArrow(near, "x bigint, y bigint"), "near")
+    ids = left.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    rows = written(rows_of(ids), "rows")
+    row_x, row_y = (rows.select(F.col("id").alias(s), F.col("row").alias(f"row_{s}")) for s in "xy")
+    joined = left.join(row_x, "x").join(row_y, "y").select("x", "y", "row_x", "row_y")
+
+    def multiply(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """A block of the product: overlaps of a[i] and b[i], as entries (pair, shingle) that both sides have."""
+        pair = np.repeat(np.r_[np.arange(len(a)), np.arange(len(b))], [*map(len, a), *map(len, b)])
+        value = np.concatenate([*a, *b])
+        order = np.lexsort((value, pair))
+        pair, value = pair[order], value[order]
+        return np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(a))
 
     def overlap(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                a, b = ([np.frombuffer(r, np.uint64) for r in part.column(c).to_pylist()] for c in (2, 3))
-                size_a, size_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
-                # The block's product: equal (pair, shingle) entries of both sides.
-                pair = np.repeat(np.r_[np.arange(len(a)), np.arange(len(b))], np.r_[size_a, size_b])
-                value = np.concatenate([*a, *b])
-                order = np.lexsort((value, pair))
-                pair, value = pair[order], value[order]
-                same = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
-                both = np.bincount(pair[1:][same], minlength=len(a))
-                ok = 100 * both >= percent * (size_a + size_b - both)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["x", "y"])
+            a, b = ([np.frombuffer(r, np.uint64) for r in batch.column(c).to_pylist()] for c in (2, 3))
+            size_a, size_b = np.array(list(map(len, a)), int), np.array(list(map(len, b)), int)
+            cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(size_a + size_b) // ENTRIES)) + 1, len(a)]
+            both = np.concatenate([multiply(a[i:j], b[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if j > i] or [np.zeros(0, int)])
+            ok = pa.array(100 * both >= percent * (size_a + size_b - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["x", "y"])
 
     return joined.mapInArrow(overlap, "x bigint, y bigint")
 
@@ -158,36 +265,29 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n
     sets = told.where("kind = 0").select("doc_id", "k", F.col("v").alias("n_shingles"))
     full = sets.where("n_shingles > 0")
     numbers = full.groupBy("k").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    columns = written(_columns(_prefixes(docs, text, spark.sparkContext.broadcast(sketch), n, percent), numbers.where("node is not null").select("k", "node")), "columns")
+    nodes = numbers.where("node IS NOT NULL").select("k", "node")
+    columns = written(_columns(_prefixes(docs, text, spark.sparkContext.broadcast(sketch), n, percent), nodes), "columns")
+    bitmaps = lambda r: {"fine": bitmap(r, _fine(len(r))), "bits": bitmap(r), "size": len(r)}
+    marks = written(_of_nodes(columns.select(F.col("node").alias("id")).distinct(), docs, text, doc_id, n, "fine binary, bits binary, size bigint", bitmaps), "marks")
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        return _of_nodes(ids, docs, text, doc_id, n, "row binary", lambda r: {"row": r.tobytes()})
+
 
-    links: list[DataFrame] = []
     labels = None
-    low, high = 0, FIRST_HUBS
-    largest = columns.agg(F.max("m")).collect()[0][0] or 0
-    left = columns
-    while low < largest:
-        hubs = left.where((F.col("rank") >= low) & ((F.col("rank") < high) | ((F.col("m") <= SMALL) & F.lit(low == 0))))
-        cross = hubs.select("shingle", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("rank").alias("rank_x"), *([F.col("label").alias("label_x")] if labels else []))
-        pairs = cross.join(left, "shingle").where((F.col("rank") > F.col("rank_x")) & (100 * F.col("size_x") >= percent * F.col("size")))
-        if labels:
-            pairs = pairs.where(F.col("label") != F.col("label_x"))
-        pairs = written(pairs.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct(), "pairs")
-        if pairs.limit(1).count():
-            links.append(written(_verified(pairs, docs, text, doc_id, n, percent), "links"))
-            edges = links[-1] if labels is None else links[-1].unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y")))
-            labels = components(edges)
-        low = SMALL if low == 0 and largest <= SMALL else high
-        high = low * MORE
-        if low >= largest:
-            break
-        # Only columns whose rows aren't all in one component go on.
-        left = columns.where(F.col("m") > max(low, SMALL))
-        if labels is not None:
-            left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = left.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
-            left = written(left.join(open_, "shingle", "left_semi"), "open")
-        if not left.limit(1).count():
-            break
+    pairs = written(_with_hubs(columns, percent), "pairs")
+    links = written(_verified(pairs, marks, rows_of, percent), "links")
+    if links.limit(1).count():
+        labels = components(links)
+    # Columns of up to three rows are done: each pair has a hub in it.
+    labelled = columns.where("m > 3")
+    labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
+    opened = labelled.join(several, "shingle", "left_semi").join(marks.select(F.col("id").alias("node"), "bits"), "node")
+    pairs = written(_in_blocks(opened, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
+    more = written(_verified(pairs, marks, rows_of, percent), "links")
+    if more.limit(1).count():
+        labels = components(more if labels is None else more.unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y"))))
 
     found = numbers.where("copies > 1 or node is null")
     if labels is not None:

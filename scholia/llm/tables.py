@@ -11,7 +11,7 @@ _local: dict[str, str] = {}
 
 
 #: Bytes of an Arrow batch, where the session keeps Spark's default of 64 MB: workers hold a few arrays per byte of a batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
