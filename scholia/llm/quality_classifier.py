@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from scholia.llm import textnum as T
 from scholia.llm.tables import written
 
-#: At most so many labelled rows are used, chosen by a hash of doc_id. (Their ids and classes are broadcast: 16 bytes each.)
+#: So many labelled rows are used, chosen by a hash of doc_id. (Their ids and classes are broadcast: 16 bytes each.)
 LABEL_SAMPLE = 40_000
 WORD_BUCKETS, SHAPE_BUCKETS, SEED = 1 << 16, 1 << 14, 20240517
 #: Share of the raw model in the target model; an excess is clear beyond so many standard errors and so many times the expected count.
@@ -126,8 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     classes = F.when(F.min("quality") < 1, 1).when(F.max(F.coalesce(F.col("toxic"), F.lit(0))) > 0, 2).otherwise(0)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(classes.alias("_class"))
     # Poor text comes before toxic text: a poor toxic row is poor.
-    chosen = known.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(sample)
-    bounded = F.broadcast(chosen)  # `sample` rows of two numbers at most
+    # Ids are distinct here, so a hash below sample / rows picks `sample` rows, give or take a few hundred, without a sort.
+    known = written(known, "labels")
+    share = sample / max(1, known.count())
+    draw = F.xxhash64(F.lit(SEED), "_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    chosen = known.where(draw < F.lit(share))
+    bounded = F.broadcast(chosen)  # about `sample` rows of two numbers
     joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(bounded, "_id", "left")
     sizes = {r["_class"]: r["n"] for r in chosen.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     table = counted(joined, "_text", "_class").toArrow()
