@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scholia.functions.passwords import Pbkdf2Hasher, hash_column, matches_column
 from scholia.functions.validation import validated
 from scholia.operators import analytics, documents, mutations, reads, retrieval
-from scholia.plans.papers import PAPERS, PAPERS_SQL, papers
+from scholia.plans.papers import PAPERS_SQL, papers
 from scholia.sources.fixtures import driver_table, load, with_tables
 from scholia.sources.schemas import SERVED, TABLES
 
@@ -105,6 +105,9 @@ REQUESTS: dict[str, tuple[str, dict[str, str]]] = {
     "term_create": ("region", {"ordinal": "r_regionkey + 1", "number": "CAST(r_regionkey AS INT)", "name": "r_name"}),
     "user_create": ("supplier", {"ordinal": "s_suppkey + 1", "account_id": "CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey + 100000000 ELSE s_suppkey END", "first_name": "CASE WHEN s_suppkey % 6 = 1 THEN 'A' ELSE ' Ann ' END", "last_name": "s_name", "photo": "CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN ' /p ' END"}),
     "course_update": ("supplier", {"ordinal": "s_suppkey + 1", "id": "s_suppkey", "code": "CASE s_suppkey % 3 WHEN 0 THEN 'c' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'c' || CAST(s_suppkey + 1 AS STRING) ELSE 'x' || CAST(s_suppkey AS STRING) END", "name": "s_name", "description": "CAST(NULL AS STRING)"}),
+    "account_update": ("supplier", {"ordinal": "s_suppkey + 1", "id": "s_suppkey", "username": "CASE s_suppkey % 3 WHEN 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS STRING), 9, '0') WHEN 1 THEN 'Customer#000000003' ELSE ' other' || CAST(s_suppkey AS STRING) END", "email": "'New' || CAST(s_suppkey AS STRING) || '@Example.com'", "password": "CASE WHEN s_suppkey % 5 = 4 THEN 'short' ELSE 'secret-pass' END"}),
+    "role_update": ("nation", {"ordinal": "n_nationkey + 1", "id": "CAST(n_nationkey AS BIGINT)", "name": "CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'same name' END", "description": "' d'"}),
+    "term_update": ("region", {"ordinal": "r_regionkey + 1", "id": "CAST(r_regionkey AS BIGINT)", "number": "CAST(3 - r_regionkey AS INT)", "name": "'T' || r_name"}),
     "user_update": ("supplier", {"ordinal": "s_suppkey + 1", "id": "s_suppkey * 3", "account_id": "s_suppkey", "first_name": "' Bob'", "last_name": "s_name", "photo": "CASE WHEN s_suppkey % 2 = 0 THEN '/new ' END"}),
     "session_update": ("supplier", {"ordinal": "s_suppkey + 1", "id": "s_suppkey", "account_id": "s_suppkey", "token": "'again-' || CAST(s_suppkey AS STRING)", "ip_address": "'10.1.1.1'", "expires_at": f"CASE WHEN s_suppkey % 3 = 0 THEN CAST('{NOW}' AS TIMESTAMP_NTZ) END"}),
     "school_year_update": ("region", {"ordinal": "r_regionkey + 1", "id": "CAST(r_regionkey AS BIGINT)", "start_year": "CASE WHEN r_regionkey % 2 = 0 THEN CAST(2010 + r_regionkey AS INT) END", "end_year": "CASE WHEN r_regionkey = 1 THEN 2000 END"}),
@@ -167,23 +170,27 @@ _create("user_create", "users", ["account_id", "first_name", "last_name", "photo
 
 def _update(name: str, table: str, fields: dict[str, str], keys: list[list[str]], parents: tuple[str, ...] = (), orphan: str = "false", years: str = "false", broken: str = "false") -> None:
     refused = "conflict" if TABLES[table].conflicts_mapped else "internal"
-    kept = [n for n, _, _ in TABLES[table].columns if n not in (*fields, "id", "updated_at")]
-    taken = " OR ".join(f"EXISTS (SELECT 1 FROM {table} t WHERE t.id <> n.id AND {' AND '.join(f't.{k} = n.{k}' for k in key)})" for key in keys) or "false"
-    later = " OR ".join(f"coalesce(min(CASE WHEN valid AND NOT taken THEN ordinal END) OVER (PARTITION BY {', '.join(key)}) < ordinal, false)" for key in keys) or "false"
+    kept = [n for n in TABLES[table].response if n not in (*fields, "id", "updated_at")]
+    own = ["EXISTS (SELECT 1 FROM " + table + " t WHERE t.id <> n.id AND " + " AND ".join(f"t.{k} = n.{k}" for k in key) + ")" for key in keys]
+    taken = (" OR ".join(own) or "false") + " AS taken" + "".join(f", {x} AS exists{i}" for i, x in enumerate(own))
+    later = " OR ".join(f"coalesce(min(CASE WHEN valid AND NOT exists{i} THEN ordinal END) OVER (PARTITION BY {', '.join(key)}) < ordinal, false)" for i, key in enumerate(keys)) or "false"
     sql = f"""SELECT ordinal, {_outcome(("broken", "validation"), ("NOT found", "not_found"), ("bad_years", "bad_state"), ("orphan", refused), ("taken OR later", refused))} AS outcome, id, {", ".join((*fields, *kept))}, {_NOW_SQL} AS updated_at
-        FROM (SELECT *, {later} AS later FROM (SELECT *, {taken} AS taken FROM (SELECT *, found AND NOT broken AND NOT bad_years AND NOT orphan AS valid FROM (
+        FROM (SELECT *, {later} AS later FROM (SELECT *, {taken} FROM (SELECT *, found AND NOT broken AND NOT bad_years AND NOT orphan AS valid FROM (
             SELECT *, {years} AS bad_years, {orphan} AS orphan FROM (
                 SELECT r.ordinal, r.id, {broken} AS broken, o.id IS NOT NULL AS found, {", ".join(f"{e} AS {n}" for n, e in fields.items())}, {", ".join(f"o.{k}" for k in kept)}
                 FROM {_req(name)} r LEFT JOIN {table} o ON o.id = r.id AND o.deleted_at IS NULL))) n))"""
 
     def query(s: SparkSession, d: str) -> DataFrame:
         found = mutations.update(load(s, d, table), requests(s, d, name), table, NOW, {p: load(s, d, p) for p in parents})
-        return found.select("ordinal", "outcome", *(n for n, _, _ in TABLES[table].columns))
+        return found.select("ordinal", "outcome", *TABLES[table].response)
 
     _add(name, query, sql, table, *parents)
 
 
 _update("course_update", "courses", {"code": f"upper({_trim('r.code')})", "name": _trim("r.name"), "description": "r.description"}, [["code"]])
+_update("account_update", "accounts", {"username": _trim("r.username"), "email": f"lower({_trim('r.email')})"}, [["username"], ["email"]], broken="length(r.password) < 8")
+_update("role_update", "roles", {"name": f"upper({_trim('r.name')})", "description": _trim("r.description")}, [["name"]])
+_update("term_update", "terms", {"number": "r.number", "name": "r.name"}, [], broken="r.number <= 0")
 _update("user_update", "users", {"account_id": "r.account_id", "first_name": _trim("r.first_name"), "last_name": _trim("r.last_name"), "photo": f"nullif({_trim('r.photo')}, '')"}, [], ("accounts",), "account_id NOT IN (SELECT id FROM accounts)")
 _update("session_update", "sessions", {"account_id": "r.account_id", "token": _trim("r.token"), "ip_address": "r.ip_address", "expires_at": "coalesce(r.expires_at, o.expires_at)"}, [["token"]], ("accounts",), "account_id NOT IN (SELECT id FROM accounts)")
 _update("school_year_update", "school_years", {"start_year": "coalesce(r.start_year, o.start_year)", "end_year": "coalesce(r.end_year, o.end_year)"}, [["start_year", "end_year"]], years="coalesce(start_year >= end_year, false)")
@@ -228,6 +235,27 @@ _add(
     "account_roles",
 )
 
+# New states.
+
+_add(
+    "courses_after_create",
+    lambda s, d: (lambda t: mutations.apply_create(t, mutations.create(t, requests(s, d, "course_create"), "courses", NOW), "courses"))(load(s, d, "courses")),
+    f"SELECT * FROM courses UNION ALL SELECT id, code, name, description, created_at, {_NOW_SQL} AS updated_at, CAST(NULL AS TIMESTAMP) AS deleted_at FROM ({_sql_create('course_create', 'courses', {'code': f'upper({_trim("code")})', 'name': _trim('name'), 'description': _trim('description')}, 'length(code) < 2', [['code']], ['code', 'name', 'description', 'created_at'], extra={'created_at': f'{_NOW_SQL} AS created_at'})}) WHERE outcome = 'ok'",
+    "courses",
+)
+_add(
+    "accounts_after_soft_delete",
+    lambda s, d: (lambda t: reads.response(mutations.apply_changed(t, mutations.soft_delete(t, requests(s, d, "ids"), "accounts", NOW), "accounts"), "accounts"))(load(s, d, "accounts")),
+    f"SELECT id, username, email, email_verified, active, last_login, created_at, CASE WHEN deleted_at IS NULL THEN {_NOW_SQL} ELSE updated_at END AS updated_at, coalesce(deleted_at, {_NOW_SQL}) AS deleted_at FROM accounts",
+    "accounts",
+)
+_add(
+    "links_after_remove",
+    lambda s, d: (lambda t: mutations.apply_changed(t, mutations.remove_role(t, requests(s, d, "pairs"), NOW), "account_roles"))(load(s, d, "account_roles")),
+    f"SELECT l.id, l.account_id, l.role_id, l.created_at, CASE WHEN l.deleted_at IS NULL AND l.role_id = l.account_id % 25 THEN {_NOW_SQL} ELSE l.deleted_at END AS deleted_at FROM account_roles l",
+    "account_roles",
+)
+
 # Rejects.
 
 _RULES_SQL = {"username": ("not_blank", f"length({_trim('username')}) = 0"), "username ": ("size", "length(username) NOT BETWEEN 3 AND 100"), "email": ("email", f"NOT regexp_matches(email, {_EMAIL_SQL})")}
@@ -265,7 +293,7 @@ _add("ocr_questions", lambda s, d: documents.questions(papers(s)), PAPERS_SQL["q
 _add("ocr_options", lambda s, d: documents.options(papers(s)), PAPERS_SQL["options"])
 _add("ocr_review_flags", lambda s, d: documents.review_flags(papers(s)), PAPERS_SQL["review_flags"])
 _add("ocr_school_years", lambda s, d: documents.school_years_to_create(papers(s), load(s, d, "school_years")), PAPERS_SQL["school_years"], "school_years")
-assert PAPERS
+_add("ocr_operations", lambda s, d: documents.operations(papers(s)), PAPERS_SQL["operations"])
 
 
 def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:

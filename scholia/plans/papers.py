@@ -60,5 +60,6 @@ PAPERS_SQL = {
         f"'req-b', 'partial', {_D(0.6)}, CAST(1 AS BIGINT), CAST(1 AS BIGINT), 'schoolYear', true",
         "'req-c', 'error', CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', true",
     ),
+    "operations": f"SELECT CAST(3 AS BIGINT) AS n, {_D(2250)} AS ms_per_page, {_D(0.75)} AS confidence, CAST(1 AS DOUBLE) / 3 AS warning_rate, CAST(9000 AS BIGINT) AS p95_ms",
     "school_years": "SELECT s AS start_year, e AS end_year FROM (VALUES (CAST(2030 AS INTEGER), CAST(2031 AS INTEGER)), (2021, 2022)) AS t(s, e) WHERE NOT EXISTS (SELECT 1 FROM school_years y WHERE y.start_year = s AND y.end_year = e)",
 }
