@@ -17,6 +17,7 @@ from scholia.operators import analytics, documents, mutations, reads, retrieval
 from scholia.plans.papers import PAPERS_SQL, papers
 from scholia.sources.fixtures import driver_table, load, with_tables
 from scholia.sources.schemas import SERVED, TABLES
+from scholia.streaming import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,3 +314,13 @@ _add(
 _add("exam_scores_by_account", lambda s, d: analytics.scores_by_account(driver_table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("score"))), "SELECT o_custkey AS account_id, count(*) AS n, round(avg(o_totalprice), 4) AS mean_score, max(o_totalprice) AS best_score, min(o_totalprice) AS worst_score FROM orders GROUP BY 1")
 _add("exam_answers_by_simulation", lambda s, d: analytics.answers_by_simulation(driver_table(s, d, "lineitem").select(F.col("l_orderkey").alias("simulation_id"), F.col("l_quantity").alias("points"), (F.col("l_returnflag") == "R").alias("correct"))), "SELECT l_orderkey AS simulation_id, count(*) AS n_answers, round(sum(l_quantity), 2) AS points, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS share_correct FROM lineitem GROUP BY 1")
 _add("rate_limit", lambda s, d: analytics.requests_per_window(driver_table(s, d, "events").select("user_id", "ts"), 60, 1), "SELECT user_id, time_bucket(INTERVAL '60 minutes', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+_add(
+    "chat_references",
+    lambda s, d: retrieval.references(driver_table(s, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" @statement.maths.2024.t1."), F.col("role")).alias("text"))).drop("text"),
+    "SELECT conv_id, turn, 'maths' AS subject, '2024' AS school_year, 't1' AS term, role AS exam_type FROM conversations",
+)
+_add(
+    "reindex_latest",
+    lambda s, d: reindex.visible(reindex.latest(driver_table(s, d, "events").select(F.col("user_id").alias("statement_id"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"), F.col("props").alias("content")))),
+    "SELECT statement_id, version, content FROM (SELECT user_id AS statement_id, event_id AS version, event_type = 'error' AS deleted, props AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND NOT deleted",
+)
