@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 
 def scores_by_account(simulations: DataFrame) -> DataFrame:
-    """simulations: (id, account_id, score). Count, mean, best and worst score by account."""
-    return simulations.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.max("score").alias("best_score"), F.min("score").alias("worst_score"))
+    """simulations: (id, account_id, score). Count, mean, best and worst score by account; means are of whole hundredths, whatever the order."""
+    mean = F.sum(F.round(F.col("score") * 100).cast("bigint")) / F.count("score") / F.lit(100.0)
+    return simulations.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean_score"), F.max("score").alias("best_score"), F.min("score").alias("worst_score"))
 
 
 def answers_by_simulation(answers: DataFrame) -> DataFrame:
     """answers: (simulation_id, points, correct). Totals by simulation."""
-    return answers.groupBy("simulation_id").agg(F.count(F.lit(1)).alias("n_answers"), F.round(F.sum("points"), 2).alias("points"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("share_correct"))
+    return answers.groupBy("simulation_id").agg(F.count(F.lit(1)).alias("n_answers"), F.round(F.sum("points"), 2).alias("points"), F.avg(F.col("correct").cast("double")).alias("share_correct"))
 
 
 def requests_per_window(requests: DataFrame, minutes: int, limit: int) -> DataFrame:

@@ -311,8 +311,8 @@ _add(
             SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
         WHERE s >= 0.2) WHERE rank <= 5""",
 )
-_add("exam_scores_by_account", lambda s, d: analytics.scores_by_account(driver_table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("score"))), "SELECT o_custkey AS account_id, count(*) AS n, round(avg(o_totalprice), 4) AS mean_score, max(o_totalprice) AS best_score, min(o_totalprice) AS worst_score FROM orders GROUP BY 1")
-_add("exam_answers_by_simulation", lambda s, d: analytics.answers_by_simulation(driver_table(s, d, "lineitem").select(F.col("l_orderkey").alias("simulation_id"), F.col("l_quantity").alias("points"), (F.col("l_returnflag") == "R").alias("correct"))), "SELECT l_orderkey AS simulation_id, count(*) AS n_answers, round(sum(l_quantity), 2) AS points, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS share_correct FROM lineitem GROUP BY 1")
+_add("exam_scores_by_account", lambda s, d: analytics.scores_by_account(driver_table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("score"))), "SELECT o_custkey AS account_id, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100.0 AS mean_score, max(o_totalprice) AS best_score, min(o_totalprice) AS worst_score FROM orders GROUP BY 1")
+_add("exam_answers_by_simulation", lambda s, d: analytics.answers_by_simulation(driver_table(s, d, "lineitem").select(F.col("l_orderkey").alias("simulation_id"), F.col("l_quantity").alias("points"), (F.col("l_returnflag") == "R").alias("correct"))), "SELECT l_orderkey AS simulation_id, count(*) AS n_answers, round(sum(l_quantity), 2) AS points, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) AS share_correct FROM lineitem GROUP BY 1")
 _add("rate_limit", lambda s, d: analytics.requests_per_window(driver_table(s, d, "events").select("user_id", "ts"), 60, 1), "SELECT user_id, time_bucket(INTERVAL '60 minutes', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 _add(
     "chat_references",
