@@ -41,10 +41,11 @@ HELD = 50_000
 #: Windows that step 4 settles at once in a task.
 WINDOWS = 250_000
 _PLACE = (1 << 22) - 1  # of a slice, which is shorter
-_SCHEMA = "gram bigint, rank bigint, doc bigint, place bigint"
+_SCHEMA = "gram bigint, rank bigint, doc bigint, place bigint, marks int"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_WINDOW_SCHEMA = _SCHEMA.removesuffix(", marks int")
 #: place: start << 32 | settled (a repeat already, its length in rank) << 31 | windows << 25 | bytes before the gram in the first << 19 | agreements 2 and 3 (9 bits each);
-#: rank: 36 bits of the content, agreements 0 and 1 (14 bits each). An agreement is 0 where the run doesn't reach so far.
+#: rank: 64-bit hash of the content. marks: agreements 0 and 1 (14 bits each). An agreement is 0 where the run doesn't reach so far.
 _SETTLED = 1 << 31
 
 
@@ -96,10 +97,10 @@ def sampled(docs: list[tuple[int, bytes, int]], span: int) -> dict[str, np.ndarr
         there = (before >= left) & (end - place - GRAM >= right)
         a, b = np.where(there, place - left, 0), np.where(there, place + GRAM + right, 0)
         marks.append(np.where(there, (T.substring(run, a, b) % np.uint64((1 << bits) - 1)).astype(np.int64) + 1, 0))
-    rank = ((T.substring(run, start, end) >> np.uint64(28)) << np.uint64(28)).astype(np.int64) | marks[0] << 14 | marks[1]
+    rank = T.substring(run, start, end).astype(np.int64)
     part = np.searchsorted(ends, start, "right")
     doc, base = np.array([d for d, _, _ in docs])[part], (np.array([b for _, _, b in docs]) - (ends - sizes))[part]
-    return {"gram": g[place].astype(np.int64), "rank": rank, "doc": doc, "start": start + base, "low": n << 25 | before << 19 | marks[2] << 9 | marks[3]}
+    return {"gram": g[place].astype(np.int64), "rank": rank, "doc": doc, "start": start + base, "low": n << 25 | before << 19 | marks[2] << 9 | marks[3], "marks": (marks[0] << 14 | marks[1]).astype(np.int32)}
 
 
 def _start(place: np.ndarray) -> np.ndarray:
@@ -117,14 +118,14 @@ def _runs_of(docs: list[tuple[int, bytes, int]], span: int) -> list[np.ndarray]
         return None
     order = np.lexsort((r["start"], r["doc"], r["rank"], r["gram"]))
     r = {k: x[order] for k, x in r.items()}
-    return _first_and_settled(r["gram"], r["rank"], r["doc"], r["start"] << 32 | r["low"], _n(r["low"]) - 1 + span)
+    return _first_and_settled(r["gram"], r["rank"], r["doc"], r["start"] << 32 | r["low"], _n(r["low"]) - 1 + span, r["marks"])
 
 
-def _first_and_settled(gram: np.ndarray, rank: np.ndarray, doc: np.ndarray, place: np.ndarray, length: np.ndarray | int) -> list[np.ndarray]:
-    """Of rows sorted by gram, rank, doc: those of each class's first document; the bytes of the others, merged, as settled rows."""
+def _first_and_settled(gram: np.ndarray, rank: np.ndarray, doc: np.ndarray, place: np.ndarray, length: np.ndarray | int, *more: np.ndarray) -> list[np.ndarray]:
+    """Of rows sorted by gram, rank, doc: those of each class's first document; the bytes of the others, merged, as settled rows. more: further columns, 0 in those."""
     new = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
     keep = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = [gram[keep], rank[keep], doc[keep], place[keep]]
+    out = [x[keep] for x in (gram, rank, doc, place, *more)]
     if keep.all():
         return out
     doc, a = doc[~keep], place[~keep] >> 32
@@ -136,7 +137,7 @@ def _first_and_settled(gram: np.ndarray, rank: np.ndarray, doc: np.ndarray, plac
     last = np.r_[np.flatnonzero(head)[1:] - 1, len(a) - 1]
     doc, a, b = doc[head], a[head], far[last]
     # A hash of the place in the gram's stead deals them evenly.
-    settled = [T.mix((a * 31 + doc).astype(np.uint64)).astype(np.int64), b - a, doc, a << 32 | _SETTLED]
+    settled = [T.mix((a * 31 + doc).astype(np.uint64)).astype(np.int64), b - a, doc, a << 32 | _SETTLED, *(np.zeros(len(a), x.dtype) for x in more)]
     return [np.concatenate(x) for x in zip(out, settled, strict=True)]
 
 
@@ -180,11 +181,11 @@ def _classes(batches, span: int):
 
     def settle(held: list[np.ndarray], everything: bool):
         """Step 3 over the first documents' rows of whole grams."""
-        gram, rank, doc, place = held
+        gram, rank, doc, place, marks = held
         if everything:
             return rows(OPEN, gram, doc, _start(place), _n(place))
         before, out = place >> 19 & 63, []
-        for (_, _, least, most, _), mark in zip(_ways(span), (rank >> 14 & 0x3FFF, rank & 0x3FFF, place >> 9 & 0x1FF, place & 0x1FF), strict=True):
+        for (_, _, least, most, _), mark in zip(_ways(span), (marks >> 14 & 0x3FFF, marks & 0x3FFF, place >> 9 & 0x1FF, place & 0x1FF), strict=True):
             order = np.lexsort((rank, mark, gram))
             g, s, c = gram[order], mark[order], rank[order]
             group = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (s[1:] != s[:-1])][: len(g)])
@@ -198,11 +199,11 @@ def _classes(batches, span: int):
         return rows(OPEN, *(np.concatenate(x) for x in zip(*out, strict=True)))
 
     for batch in batches:
-        gram, rank, doc, place = (c.to_numpy() for c in batch.columns)
+        gram, rank, doc, place, marks = (c.to_numpy() for c in batch.columns)
         done = (place & _SETTLED) > 0
         if done.any():
             yield rows(REPEAT, gram[done], doc[done], _start(place[done]), rank[done])
-            gram, rank, doc, place = (x[~done] for x in (gram, rank, doc, place))
+            gram, rank, doc, place, marks = (x[~done] for x in (gram, rank, doc, place, marks))
         if not len(gram):
             continue
         new = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
@@ -212,7 +213,7 @@ def _classes(batches, span: int):
         key = (gram[-1], rank[-1], first[-1])
         again = doc > first
         yield rows(REPEAT, gram[again], doc[again], _start(place[again]), _n(place[again]) - 1 + span)
-        own = [x[~again] for x in (gram, rank, doc, place)]
+        own = [x[~again] for x in (gram, rank, doc, place, marks)]
         if not len(own[0]):
             continue
         if waiting is not None:
@@ -252,7 +253,7 @@ def _windows(opened: DataFrame, span: int) -> DataFrame:
     def flushed(held: list):
         rows = [np.concatenate(x) for x in zip(*held, strict=True)]
         order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
-        return _batch(_first_and_settled(*(x[order] for x in rows), span), _NAMES)
+        return _batch(_first_and_settled(*(x[order] for x in rows), span), _NAMES[:4])
 
     def expand(batches):
         from zstandard import ZstdDecompressor
@@ -270,7 +271,7 @@ def _windows(opened: DataFrame, span: int) -> DataFrame:
         if held:
             yield flushed(held)
 
-    return opened.mapInArrow(expand, _SCHEMA)
+    return opened.mapInArrow(expand, _WINDOW_SCHEMA)
 
 
 def _later(batches, span: int):

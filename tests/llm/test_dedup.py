@@ -180,6 +180,16 @@ def test_substrings_in_spark(spark):
     assert {i: (*x[:3], bytes(x[3])) for i, x in got.items()} == bytes_left(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_unlike_runs_whose_hashes_begin_alike_stay(spark, parts):
+    """One gram, and content hashes that agree in their first 36 bits: in one slice, and in two tasks."""
+    rows = [(1, "efkkecphmjjxmeavudkapdztjzpfjeqpbihejcdykfyuptuhic"), (2, "vqwtscstcqpstanrtwfxxnbakzcoebqpbihejcdykffnhlucmr"), (3, "efkkecphmjjxmeavudkapdztjzpfjeqpbihejcdykfyuptuhic")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = docs.coalesce(1) if parts == 1 else docs.repartitionByRange(2, "doc_id")
+    got = {r["doc_id"]: bytes(r["repeats"]["kept"]).decode() for r in suffix_array.suffix_array_dedup(docs).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: ""}
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs, texts):
     short = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (9, 10)")
     rows = [(i, (t or "").encode()) for i, t, *_ in texts if i not in (9, 10)]
