@@ -1,6 +1,7 @@
 """Licence scans by ordered signature rules.
 
-A rule is a regular expression with a priority, a label, a confidence and a keyword that any match must hold.
+A rule is a regular expression with a priority, a label, a confidence and a keyword that any match must hold
+(without white space, as any white space may stand for a rule's space).
 The keyword is looked for first (a plain byte search); only rules whose keyword is there run. Of the matches,
 one that lies inside the interval of a match of a better priority (or, at equal priority, of a longer one) is
 suppressed. Rules come from a table of licences and a few ways in which texts name a licence.
@@ -53,10 +54,10 @@ epl-1 | (?:the )?(?:eclipse public|epl)(?: license)?,? ?(?:- )?(?:v(?:ersion|er)
 epl-2 | (?:the )?(?:eclipse public|epl)(?: license)?,? ?(?:- )?(?:v(?:ersion|er)?\\.? ?)?2(?:\\.0)? | eclipse|epl | epl-2\\.0
 eupl | (?:the )?(?:european union public|eupl) | european|eupl | eupl-1\\.[012]
 cddl | (?:the )?(?:common development and distribution|cddl) | distribution|cddl | cddl-1\\.[01]
-cpl | (?:the )?common public | common public | cpl-1\\.0
+cpl | (?:the )?common public | common | cpl-1\\.0
 artistic | (?:the )?(?:perl )?artistic(?: license)?(?: 2\\.0)? | artistic | artistic-(?:1|2)\\.0
 unlicense | (?:the )?unlicense | unlicense | unlicense
-wtfpl | (?:the )?(?:do what the fuck you want to public|wtfpl) | wtfpl|want to public | wtfpl
+wtfpl | (?:the )?(?:do what the fuck you want to public|wtfpl) | wtfpl|fuck | wtfpl
 psf | (?:the )?(?:python software foundation|psf) | python|psf | (?:psf|python)-2\\.0
 php | (?:the )?php(?: license)?(?:,? version 3\\.0?1)? | php | php-3\\.0?1
 ruby | (?:the )?ruby | ruby | ruby
@@ -64,25 +65,25 @@ postgresql | (?:the )?postgresql | postgresql | postgresql
 openssl | (?:the )?openssl | openssl | openssl
 curl | (?:the )?curl | curl | curl
 ncsa | (?:the )?(?:university of illinois/ncsa|ncsa) open source | ncsa | ncsa
-afl | (?:the )?academic free | academic free | afl-[123]\\.[012]
-osl | (?:the )?open software | open software | osl-[123]\\.[01]
+afl | (?:the )?academic free | academic | afl-[123]\\.[012]
+osl | (?:the )?open software | software | osl-[123]\\.[01]
 ecl | (?:the )?educational community | educational | ecl-[12]\\.0
-ms-pl | (?:the )?microsoft public | microsoft public | ms-pl
+ms-pl | (?:the )?microsoft public | microsoft | ms-pl
 ms-rl | (?:the )?microsoft reciprocal | reciprocal | ms-rl
 oracle-upl | (?:the )?universal permissive | permissive | upl-1\\.0
 beerware | (?:the )?beer-?ware | beer | beerware
 vim | (?:the )?vim | vim | vim
 tcl | (?:the )?tcl/tk | tcl/tk | tcl
 sleepycat | (?:the )?sleepycat | sleepycat | sleepycat
-ofl | (?:the )?(?:sil )?open font | open font | ofl-1\\.[01]
+ofl | (?:the )?(?:sil )?open font | font | ofl-1\\.[01]
 odbl | (?:the )?(?:open database|odbl) | database|odbl | odbl-1\\.0
-odc-by | (?:the )?open data commons attribution | commons attribution | odc-by-1\\.0
+odc-by | (?:the )?open data commons attribution | attribution | odc-by-1\\.0
 pddl | (?:the )?public domain dedication and | dedication | pddl-1\\.0
 cecill | (?:the )?cecill(?:-[bc])? | cecill | cecill(?:-[bc]|-[12]\\.[01])?
 elastic | (?:the )?elastic(?: license)?(?: 2\\.0)? | elastic | elastic-2\\.0
-sspl | (?:the )?(?:server side public|sspl) | server side|sspl | sspl-1\\.0
-busl | (?:the )?business source | business source | busl-1\\.1
-commons-clause | (?:the )?commons clause | commons clause | commons-clause
+sspl | (?:the )?(?:server side public|sspl) | server|sspl | sspl-1\\.0
+busl | (?:the )?business source | business | busl-1\\.1
+commons-clause | (?:the )?commons clause | commons | commons-clause
 polyform | (?:the )?polyform [a-z]+ | polyform | polyform-[a-z]+-1\\.0\\.0
 openrail | (?:the )?(?:creativeml )?open ?rail(?:-m|\\+\\+)? | rail | openrail(?:\\+\\+)?
 cc0 | (?:the )?(?:creative commons zero|cc0)(?: 1\\.0)?(?: universal)? | zero|cc0 | cc0-1\\.0
@@ -98,7 +99,7 @@ cc-by-nc-nd | (?:the )?(?:creative commons attribution[- ]non-?commercial[- ]no
 WAYS = """
 1 | 1.00 | spdx | spdx-license-identifier: *\\(?{spdx}(?![\\w.+-])
 2 | 0.95 | licen | (?:re)?licen[sc]ed(?: to you)? (?:under|with|by)(?: the terms of)? {name}(?:,? licen[sc]e)?(?!\\w)
-2 | 0.95 | licen | (?:released|distributed|available|published|provided|covered|redistributed)(?: \\w+){{0,3}} under(?: the terms of)? {name}(?:,? licen[sc]e)?(?!\\w)
+2 | 0.95 | under | (?:released|distributed|available|published|provided|covered|redistributed)(?: \\w+){{0,3}} under(?: the terms of)? {name}(?:,? licen[sc]e)?(?!\\w)
 3 | 0.90 | licen | licen[sc]e *[:=] *["']?{name}(?:,? licen[sc]e)?(?!\\w)
 3 | 0.85 | licen | see (?:the )?(?:file )?licen[sc]e(?:\\.\\w+)? for {name}(?!\\w)
 4 | 0.70 | licen | {name}[ -]licen[sc]e(?:,? (?:v(?:ersion)?\\.? ?)?\\d+(?:\\.\\d+)*)?(?!\\w)
@@ -106,11 +107,11 @@ WAYS = """
 
 #: Rules for texts that name no licence, and for addresses: priority | confidence | label | keyword | pattern
 OTHERS = """
-2 | 0.95 | mit | permission is hereby granted | permission is hereby granted,? free of charge,? to any person obtaining a copy
-2 | 0.90 | isc | permission to use | permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose
-2 | 0.90 | bsd-2-clause | redistribution and use | redistribution and use in source and binary forms,? with or without modification
+2 | 0.95 | mit | hereby | permission is hereby granted,? free of charge,? to any person obtaining a copy
+2 | 0.90 | isc | permission | permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose
+2 | 0.90 | bsd-2-clause | redistribution | redistribution and use in source and binary forms,? with or without modification
 2 | 0.90 | zlib | 'as-is' | this software is provided 'as-is',? without any express or implied warranty
-2 | 0.90 | unlicense | public domain | this is free and unencumbered software released into the public domain
+2 | 0.90 | unlicense | unencumbered | this is free and unencumbered software released into the public domain
 3 | 0.85 | apache-2 | apache.org/licenses | apache\\.org/licenses/license-2\\.0
 3 | 0.85 | gpl-3 | gnu.org/licenses | gnu\\.org/licenses/gpl-3\\.0
 3 | 0.85 | gpl-2 | gnu.org/licenses | gnu\\.org/licenses/(?:old-licenses/)?gpl-2\\.0
@@ -124,13 +125,13 @@ OTHERS = """
 3 | 0.85 | cc-by-nd | creativecommons.org | creativecommons\\.org/licenses/by-nd(?![\\w-])
 3 | 0.85 | cc-by-sa | creativecommons.org | creativecommons\\.org/licenses/by-sa(?![\\w-])
 3 | 0.85 | cc-by | creativecommons.org | creativecommons\\.org/licenses/by(?![\\w-])
-3 | 0.60 | public-domain | public domain | (?:placed in|dedicated to|part of) the public domain
+3 | 0.60 | public-domain | domain | (?:placed in|dedicated to|part of) the public domain
 5 | 0.50 | cc-by-nc | cc | cc[- ]by[- ]nc(?:[- ][1234]\\.0)?(?![\\w-])
 5 | 0.50 | cc-by-sa | cc | cc[- ]by[- ]sa(?:[- ][1234]\\.0)?(?![\\w-])
 5 | 0.50 | cc-by-nd | cc | cc[- ]by[- ]nd(?:[- ][1234]\\.0)?(?![\\w-])
 5 | 0.50 | cc-by-nc-sa | cc | cc[- ]by[- ]nc[- ]sa(?:[- ][1234]\\.0)?(?![\\w-])
 5 | 0.50 | cc-by-nc-nd | cc | cc[- ]by[- ]nc[- ]nd(?:[- ][1234]\\.0)?(?![\\w-])
-6 | 0.40 | proprietary | all rights reserved | (?:copyright|\\(c\\)|\\u00a9)[^\\n]{0,80}all rights reserved
+6 | 0.40 | proprietary | reserved | (?:copyright|\\(c\\)|\\u00a9)[^\\n]{0,80}all rights reserved
 6 | 0.30 | other | licen | (?:licen[sc]ed under|under the terms of) (?:the )?(?:[\\w.-]+ ){0,4}licen[sc]e(?!\\w)
 """
 

@@ -73,6 +73,65 @@ def test_rules(text, labels):
     assert [x for x in license_scan.scan(text.encode())["labels"].split(",") if x] == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+        ("Redistribution and use in source and binary forms, with or without modification", "bsd-2-clause"),
+        ("This is free and unencumbered software released into the public domain", "unlicense"),
+        ("placed in the public domain", "public-domain"),
+        ("Copyright A. All rights reserved", "proprietary"),
+        ("licensed under the Microsoft Public License", "ms-pl"),
+        ("licensed under the Business Source License", "busl"),
+        ("released under the GPL version 3", "gpl-3"),
+    ],
+)
+def test_rules_of_wrapped_text(text, label):
+    for at in (m.start() for m in re.finditer(" ", text)):
+        wrapped = text[:at] + "\n" + text[at + 1 :]
+        if not text[:at].startswith("Copyright") or text[at:].count(" ") < 3:  # a copyright's owner stands on its line
+            assert label in license_scan.scan(wrapped.encode())["labels"].split(","), wrapped
+
+
+def a_match(parsed, rng):
+    """A random text that the parsed pattern matches; a space is any white space."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "NOT_LITERAL":
+            out += "q"
+        elif name == "BRANCH":
+            out += a_match(rng.choice(value[1]), rng)
+        elif name == "SUBPATTERN":
+            out += a_match(value[3], rng)
+        elif name == "MAX_REPEAT":
+            least, most, part = value
+            out += "".join(a_match(part, rng) for _ in range(rng.randint(least, min(int(most), least + 2))))
+        elif name == "IN":
+            kind, own = rng.choice(value)
+            if str(kind) == "CATEGORY":
+                out += rng.choice("\n\t ") if "SPACE" in str(own) else "7"
+            else:
+                out += chr(own if str(kind) == "LITERAL" else rng.randint(*own))
+        else:
+            assert name.startswith("ASSERT"), name
+    return out
+
+
+def test_keywords_are_in_every_match():
+    import random
+
+    rng = random.Random(8)
+    for _, _, label, _, need, pattern in license_scan.rules():
+        for _ in range(12):
+            text = a_match(re._parser.parse(pattern.pattern), rng)
+            assert pattern.search(text), (label, text)
+            assert all(any(w in text for w in alternatives) for alternatives in need), (label, need, text)
+
+
 def test_contained_matches_of_worse_rules_are_suppressed():
     spans = license_scan.scan(b"Licensed under the MIT License")["spans"]
     assert [(s["label"], s["priority"]) for s in spans] == [("mit", 2)]
