@@ -1,8 +1,9 @@
-"""Substring deduplication by distributed prefix doubling.
+"""Substring deduplication by sampled grams and hashes of growing stretches.
 
 Positions are ranked by what stands at them, first by a short prefix, then by longer ones; Spark sorts the
 (rank, position) rows at each step, and equal neighbours get equal ranks. A position whose rank is unique can't
-start a repeat and is retired; the others go on until the prefix reaches the threshold, `span` bytes.
+start a repeat and is retired; the others go on until the prefix reaches the threshold, `span` bytes. Ranks are
+hashes of the bytes themselves; no rank is paired with the rank at an offset, as prefix doubling would.
 
 Ranking every byte would sort more rows than the corpus has bytes, at each step. So the positions are sampled,
 without losing a repeat: each span-byte window stands for the place of its least 12-byte gram (by hash), the same place
