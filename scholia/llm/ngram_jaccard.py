@@ -19,8 +19,10 @@ component is lost, and a group of near copies costs a row or two for each of the
 
 Null and empty texts have no shingles and link with nothing: they are their own component. With fewer than five
 words, the whole sequence is one shingle. Rows that repeat a doc_id get equal results; a null doc_id is never
-the number of a component (the component is null if no row of it has an id). Shingles, and the sets' identity, are
-64-bit hashes.
+the number of a component (the component is null if no row of it has an id). Rows without an id get a number from
+a hash of their text, beyond all ids, so they link as others do. (With an id of OWN or more in docs there is no room for
+these numbers: rows without an id then join only the component of rows of an equal set.) Shingles, and the sets'
+identity, are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SKETCH = 1 << 17
 BLOCK = 1024
 #: Entries of a block of the product.
 ENTRIES = 400_000
+#: Numbers of rows without an id begin here.
+OWN = 1 << 62
 #: Bits of a row's bitmap: two rows differ in as many shingles, at least, as their bitmaps in bits.
 BITMAP = 2048
 
@@ -257,6 +261,17 @@ def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
+    number = F.col(doc_id).cast("bigint")
+    without, most = docs.agg(F.count_if(number.isNull()), F.max(number)).collect()[0]
+    if not without or (most is not None and most >= OWN):
+        return _linked(docs, text, doc_id, n, percent)
+    own = F.xxhash64(F.col(text).cast("binary")).bitwiseAND(F.lit(OWN - 1)).bitwiseOR(F.lit(OWN))
+    found = _linked(docs.select(F.coalesce(number, own).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", n, percent)
+    true = lambda c: F.when(F.col(c) < F.lit(OWN), F.col(c)).alias(c)
+    return found.select(true("doc_id"), "n_shingles", true("component_id"))
+
+
+def _linked(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     told = written(_described(docs, text, doc_id, n), "sets")
     sketch = np.zeros(SKETCH, np.int64)

@@ -257,6 +257,25 @@ def test_components_of_near_copies(spark, monkeypatch, seed, block):
     assert got == linked(rows)
 
 
+def test_near_copies_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(120)]
+    chain = []
+    for k in range(3):  # each like the next, the ends unlike
+        words[k * 12 : k * 12 + 3] = [f"x{k}", f"y{k}", f"z{k}"]
+        chain.append(" ".join(words))
+    other = [f"v{i}" for i in range(100)]
+    alone = [" ".join(other), " ".join([*other[:-1], "u"])]
+    sets = [shingles(t) for t in chain]
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    rows = [(7, chain[0]), (None, chain[1]), (5, chain[2]), (None, alone[0]), (None, alone[1]), (None, None), (9, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in ngram_jaccard.ngram_jaccard(docs).collect())
+    assert got == Counter([(7, 5, 116), (None, 5, 116), (5, 5, 116), (None, None, 96), (None, None, 96), (None, None, 0), (9, 9, 1)])
+    left = ngram_jaccard.without_copies(docs).collect()
+    assert Counter(r["doc_id"] for r in left) == Counter([None] * 4 + [5, 9])
+
+
 def test_near_copies_of_odd_rows(odd_docs, no_docs, texts):
     want = linked(list({i: (i, t) for i, t, *_ in texts if i is not None}.values()))
     got = ngram_jaccard.ngram_jaccard(odd_docs).collect()
