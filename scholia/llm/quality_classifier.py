@@ -60,7 +60,7 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         kind = _CLASS[buf]
         upper, odd = (np.r_[0, np.cumsum(kind == c)] for c in (1, 3))
         n = e - s
-        same = np.r_[False, (lambda x: x[1:] == x[:-1])(T.substring(T.prefix(buf), s, e))]
+        same = np.r_[False, (lambda x: x[1:] == x[:-1])(T.substring(buf, s, e))]
         shape = kind[s].astype(np.uint64)
         for value in (kind[e - 1], np.minimum(upper[e] - upper[s], 2), np.minimum(odd[e] - odd[s], 3), np.minimum(np.log2(n).astype(int), 6), same):
             shape = shape * np.uint64(8) + value.astype(np.uint64)

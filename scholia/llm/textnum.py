@@ -1,4 +1,4 @@
-"""Vectorised text primitives shared by the operators: word and line splitting, rolling hashes.
+"""Vectorised text primitives shared by the operators: word and line splitting, hashes of words and n-grams.
 
 Everything works on UTF-8 bytes. Texts are joined into buffers of at most PIECE bytes (a longer text is
 cut at a separator byte), so memory stays bounded however long a document is. A hash of a token depends on
@@ -12,7 +12,6 @@ import numpy as np
 PIECE = 1 << 20
 U64 = np.uint64
 _BASE, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 
 #: Words as maximal runs of ASCII letters and digits and of all characters beyond ASCII.
 ALNUM = np.zeros(256, bool)
@@ -33,34 +32,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class _Powers:
-    """BASE**i and its inverse for i up to the longest buffer seen."""
+def eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on as one number (zeros beyond its end); a view, read where it is indexed."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
-    up = down = np.ones(1, U64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) <= n:
-            size = max(n + 1, PIECE // 4)
-            inverse = U64(pow(int(_BASE), -1, 2**64))
-            with np.errstate(over="ignore"):
-                cls.up = np.cumprod(np.r_[U64(1), np.full(size, _BASE)])
-                cls.down = np.cumprod(np.r_[U64(1), np.full(size, inverse)])
-        return cls.up, cls.down
+#: _LOW[n] keeps the first n bytes of eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial hash, so that substring() is two look-ups."""
-    up, _ = _Powers.of(len(buf))
-    out = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=out[1:])
-    return out
-
+def substring(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of buf[start:end], by their bytes alone: eight at a time, each step mixed. Up to eight bytes never collide with as many."""
+    import xxhash
 
-def substring(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of buf[start:end] from prefix(buf)."""
-    _, down = _Powers.of(len(run))
-    return mix((run[end] - run[start]) * down[start] + (end - start).astype(U64) * _STEP)
+    n, view = end - start, eight(buf)
+    out = mix((view[start] & _LOW[np.minimum(n, 8)]) + mix(n.astype(U64) * _BASE))
+    rest = np.flatnonzero((n > 8) & (n <= _LONG))
+    done = 8
+    while len(rest):
+        left = n[rest] - done
+        out[rest] = mix(out[rest] * _STEP ^ view[start[rest] + done] & _LOW[np.minimum(left, 8)])
+        rest, done = rest[left > 8], done + 8
+    for i in np.flatnonzero(n > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]].tobytes())
+    return out
 
 
 def bounds(buf: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +103,7 @@ def word_hashes(texts: list[bytes], word: np.ndarray, lower: bool) -> tuple[np.n
         if lower:
             buf = _LOWER[buf]
         s, e = bounds(buf, word)
-        out.append(substring(prefix(buf), s, e))
+        out.append(substring(buf, s, e))
         ids, starts = np.array([x for x, _ in at]), np.array([x for _, x in at])
         np.add.at(counts, ids, np.diff(np.r_[np.searchsorted(s, starts), len(s)]))
     return np.concatenate(out) if out else np.zeros(0, U64), np.r_[0, np.cumsum(counts)]
