@@ -25,10 +25,11 @@ def _byte_of_character() -> dict[str, int]:
 
 @cache
 def encoder(path: str):
-    """A function from a text to its 32-bit ids. The file's special strings in a text are ordinary text.
+    """A function from a text to its 32-bit ids: those of Tokenizer.from_file(path).encode(text, add_special_tokens=False).
 
-    Where the file is plain byte-level BPE whose ids are the merges' ranks, a faster library reads the same
-    vocabulary (equal ids); any other file, and any text on which that fails, goes to the tokenizers library.
+    A special string in a text (<|endoftext|>) is thus one id, as the library has it. Where the file is plain
+    byte-level BPE whose ids are the merges' ranks, a faster library reads the same vocabulary (equal ids); any other
+    file, a text that holds a special string, and a text on which that fails, go to the tokenizers library.
     """
     library: list = []
 
@@ -37,7 +38,6 @@ def encoder(path: str):
             from tokenizers import Tokenizer
 
             library.append(Tokenizer.from_file(path))
-            library[0].encode_special_tokens = True
         return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as f:
@@ -57,6 +57,8 @@ def encoder(path: str):
     fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def encode(text: str) -> np.ndarray:
+        if any(x in text for x in special):
+            return plain(text)
         try:
             return fast(text, disallowed_special=())
         except BaseException as e:  # its matcher gives up on some very long runs of one kind

@@ -18,17 +18,26 @@ from scholia.llm.tables import shared_dir
 @pytest.fixture(scope="module")
 def ids_of():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_library(ids_of, texts):
     path = tokens.default_path()
-    odd = [t for _, t, *_ in texts if t is None or len(t) < 200_000] + ["<|endoftext|> end", "a" * 5000, " " * 5000, " 　 x", "don't I'LL"]
+    odd = [t for _, t, *_ in texts if t is None or len(t) < 200_000] + ["<|endoftext|> end", "a <|endoftext|> b<|endoftext|>", "a <|endoftext| > b", "a" * 5000, " " * 5000, " 　 x", "don't I'LL"]
     for text, got in zip(odd, tokens.encode(path, odd), strict=True):
         assert got.tolist() == ids_of(text)
 
 
+def test_special_strings_are_the_librarys_ids(spark, ids_of):
+    rows = [(1, "a <|endoftext|> b"), (2, "plain"), (3, "<|endoftext|>" * 700)]
+    assert 50256 in ids_of(rows[0][1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()} == {i: len(ids_of(t)) for i, t in rows}
+    from pyspark.sql import functions as F
+
+    check_packing(packing.pack_documents(docs).withColumn("ids_crc32", F.crc32("ids_le")).collect(), rows, ids_of)
+
+
 def test_other_vocabularies_go_to_the_library(ids_of):
     path = public_tokenizers.path("word_bpe_49k.json")
     want = Tokenizer.from_file(path).encode("Hello there", add_special_tokens=False).ids
