@@ -183,13 +183,34 @@ def detections(text: str) -> list[tuple[int, int, int, str, float]]:
                     break
             else:
                 found += [(m.start(), m.end(), priority, order, label, sure) for m in pattern.finditer(text)]
-    kept: list[tuple] = []
-    for f in sorted(found, key=lambda f: (f[2], f[0] - f[1], f[0], f[3])):
-        if not any(k[0] <= f[0] and f[1] <= k[1] for k in kept):
-            kept.append(f)
+    kept = not_contained(found)
     return sorted((s, e, p, label, sure) for s, e, p, _, label, sure in kept)
 
 
+def not_contained(found: list[tuple]) -> list[tuple]:
+    """Of (start, end, priority, order, ...) those that lie inside no interval of a better priority, nor of an equal one that is longer (or as long and earlier in order).
+
+    What a suppressed interval holds is held by the one that suppressed it too, so each is compared with all intervals
+    before it in rank: priority by priority, a sweep by start that carries the farthest end."""
+    kept: list[tuple] = []
+    starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of better priorities, by start
+    rows = sorted(found, key=lambda f: (f[2], f[0], -f[1], f[3]))
+    i = 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j][2] == rows[i][2]:
+            j += 1
+        s, e = (np.array([r[k] for r in rows[i:j]], np.int64) for k in (0, 1))
+        far = np.r_[-1, np.maximum.accumulate(ends)][np.searchsorted(starts, s, "right")]
+        own = np.r_[-1, np.maximum.accumulate(e)[:-1]]
+        kept += [rows[i + k] for k in np.flatnonzero(np.maximum(far, own) < e)]
+        starts, ends = np.r_[starts, s], np.r_[ends, e]
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        i = j
+    return kept
+
+
 @cache
 def _phrases() -> tuple:
     word = rb"[0-9a-z\x80-\xff]"
@@ -204,7 +225,8 @@ def scan(raw: bytes) -> dict:
     starts[1:] &= ~mask[:-1]
     base = [(m.start(), label) for label, last, phrase in _phrases() if last in text for m in phrase.finditer(text)]
     spans = detections(text.decode("utf-8", "replace"))
-    at = [int(np.count_nonzero(starts[:s])) for s, _ in base]
+    before = np.cumsum(starts)
+    at = [int(before[s]) - 1 for s, _ in base]
     labels = {x for _, x in base}
     return {
         "n_words": int(np.count_nonzero(starts)), "n_base": len(base), "first_word": min(at, default=None), "last_word": max(at, default=None),

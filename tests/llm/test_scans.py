@@ -137,6 +137,40 @@ def test_contained_matches_of_worse_rules_are_suppressed():
     assert [(s["label"], s["priority"]) for s in spans] == [("mit", 2)]
 
 
+def plainly_kept(found):
+    """Suppression by comparing each interval with all kept ones."""
+    kept = []
+    for f in sorted(found, key=lambda f: (f[2], f[0] - f[1], f[0], f[3])):
+        if not any(k[0] <= f[0] and f[1] <= k[1] for k in kept):
+            kept.append(f)
+    return kept
+
+
+def test_suppression_is_its_plain_version():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for order in range(rng.randrange(25)):
+            start = rng.randrange(30)
+            found.append((start, start + rng.randrange(1, 12), rng.randrange(1, 5), order % 7, f"l{order}"))
+        found = list({f[:4]: f for f in found}.values())
+        assert sorted(license_scan.not_contained(found)) == sorted(plainly_kept(found))
+
+
+@pytest.mark.parametrize("phrase", ["mit license. ", "cc by nc ", "licensed under the mit license "])
+def test_long_texts_of_licences_take_time_in_proportion(phrase):
+    import time
+
+    text = (phrase * (2_000_000 // len(phrase))).encode()
+    began = time.perf_counter()
+    row = license_scan.scan(text)
+    assert time.perf_counter() - began < 30
+    n = 2_000_000 // len(phrase)
+    assert row["n_base"] == (0 if phrase.startswith("mit") else n) and len(row["spans"]) >= 1
+
+
 def counts(text):
     """Plain versions of the counts of the quality rules."""
     text = text or ""
