@@ -1,187 +1,184 @@
 """Benchmark decontamination by winnowing.
 
-Texts are lower-cased (A-Z) and split into words. Of each 10 consecutive words, the 5-word grams' least hash is
-kept: documents and benchmark items keep the same gram of any 10 words they share, so joining the kept
-fingerprints misses no shared span of 10 words. Around each joined fingerprint the hit is extended: the windows of
-10 words that hold it are looked up among the items' windows. Items of fewer words are one window of their length
-each; winnowing can't promise those, so grams of their lengths are looked up directly.
-
-The benchmark's index is sent to every task, in blocks of at most BLOCK bytes of text (a larger item is a block of
-its own). One block, the usual case, needs one pass and no shuffle; with more, each block's hits are found in a pass
-of their own and merged by doc_id.
-
-Null and empty texts have no words. Items without words, or with a null id, are never found. Items of equal text
-are all found. A document is a row; with more than one block, rows that repeat a doc_id must repeat its text.
+Texts are lower-cased (A-Z) and split into words. The fingerprint of 10 consecutive words is the least hash of their 5-word
+grams; consecutive windows of one least gram share it, so a text keeps about two fingerprints for seven words. Equal
+windows have equal fingerprints: joining those of documents and items misses no shared span of 10 words. A joined
+fingerprint is then extended: the windows that stand for it are joined with the items' windows. An item of fewer than
+10 words is one window, and its own fingerprint.
+
+All joins are by key, whatever the benchmark's size; Spark sends a side to all tasks only where it is small. A bitmap
+of fixed size over the items' fingerprints keeps most others from being shuffled; it is a help only, results don't depend
+on it. Hits are found by text, not by row: a text is known by 128 bits of hash, so copies are looked up once, and ids may
+be null, repeat, or stand on several texts.
+
+Null and empty texts have no words. Items without words, or with a null id, are never found. Items of equal text are all found.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
-from scholia.llm.tables import fresh
+from scholia.llm.idfilter import IdFilter
+from scholia.llm.tables import fresh, written
 
 WINDOW, GRAM = 10, 5
-BLOCK = 16 << 20
-
-
-@dataclass(frozen=True)
-class Lookup:
-    """Sorted hashes; those at i belong to items[starts[i]:starts[i + 1]]."""
-
-    hashes: np.ndarray
-    starts: np.ndarray
-    items: np.ndarray
-
-    @classmethod
-    def of(cls, hashes: np.ndarray, items: np.ndarray) -> Lookup:
-        order = np.lexsort((items, hashes))
-        hashes, items = hashes[order], items[order]
-        keep = np.r_[True, (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])][: len(hashes)]
-        hashes, items = hashes[keep], items[keep]
-        unique, starts = np.unique(hashes, return_index=True)
-        return cls(unique, np.r_[starts, len(items)], items)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash, or -1."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-
-def winnowed(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places of the grams that winnowing keeps, over texts of words h[offsets[i]:offsets[i + 1]]."""
-    g = T.grams(h, GRAM)
-    least = T.sliding_min(g, WINDOW - GRAM + 1)
-    inside = T.within(offsets, WINDOW, len(h))
-    kept = np.zeros(len(g), bool)
-    for d in range(WINDOW - GRAM + 1):
-        kept[d : d + len(least)] |= (g[d : d + len(least)] == least) & inside
-    return np.flatnonzero(kept)
+#: Bits of the map of fingerprints, whatever the benchmark's size.
+BITS = 1 << 25
 
 
-@dataclass(frozen=True)
-class Index:
-    ids: list
-    fingerprints: np.ndarray
-    windows: Lookup
-    short: dict
-
-    @classmethod
-    def of(cls, ids: list, texts: list[bytes]) -> Index:
-        h, offsets = T.word_hashes(texts, T.ALNUM, lower=True)
-        sizes = np.diff(offsets)
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        inside = T.within(offsets, WINDOW, len(h))
-        grams = T.grams(h, WINDOW)
-        short = {}
-        for n in range(1, WINDOW):
-            of = np.flatnonzero(sizes == n)
-            if len(of):
-                short[n] = Lookup.of(T.grams(h, n)[offsets[of]], of)
-        return cls(ids, np.unique(T.grams(h, GRAM)[winnowed(h, offsets)]), Lookup.of(grams[inside], owner[: len(grams)][inside]), short)
-
-    def hits(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, set]]:
-        """By text: number of words, starts and ends of the runs of hit words, places of the items found."""
-        return [x for a, b in T.slices(texts) for x in self._hits(texts[a:b])]
-
-    def _hits(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, set]]:
+def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of words h[offsets[i]:offsets[i + 1]]: the windows' hashes; starts, ends and fingerprints of the runs of windows that share one."""
+    least = T.sliding_min(T.grams(h, GRAM), WINDOW - GRAM + 1)
+    inside = T.within(offsets, WINDOW, len(h))
+    new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])][: len(least)]
+    text = offsets[(offsets > 0) & (offsets < len(least))]
+    new[text] = True
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(least)][: len(start)]
+    ok = inside[start]
+    return T.grams(h, WINDOW), start[ok], end[ok], least[start[ok]]
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
+
+
+def indexed(items: DataFrame) -> DataFrame:
+    """items: (id, text). Rows of kind 0 (k, h: a fingerprint of windows of k words) and kind 1 (k, h, id: a window of an item)."""
+    schema = "kind int, k int, h bigint, id string"
+
+    def index(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), T.as_bytes(batch.column(1))
+            for a, b in T.slices(texts):
+                h, offsets = T.word_hashes(texts[a:b], T.ALNUM, lower=True)
+                sizes = np.diff(offsets)
+                owner = np.repeat(np.arange(a, b), sizes)
+                windows, _, _, prints = fingerprints(h, offsets)
+                inside = np.flatnonzero(T.within(offsets, WINDOW, len(h)))
+                k, found, of = [np.full(len(inside), WINDOW)], [windows[inside]], [owner[inside]]
+                for n in range(1, WINDOW):
+                    if len(at := offsets[:-1][sizes == n]):
+                        k, found, of = [*k, np.full(len(at), n)], [*found, T.grams(h, n)[at]], [*of, owner[at]]
+                k, found, of = map(np.concatenate, (k, found, of))
+                prints = np.unique(prints)
+                rows = np.unique(np.rec.fromarrays([k, _signed(found), of], names="k,h,of"))
+                short = rows[rows["k"] < WINDOW]
+                keys, values = np.r_[np.full(len(prints), WINDOW), short["k"]], np.r_[_signed(prints), short["h"]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(len(keys)), np.ones(len(rows))].astype(np.int32)), pa.array(np.r_[keys, rows["k"]].astype(np.int32)), pa.array(np.r_[values, rows["h"]]), pa.array([None] * len(keys) + [ids[i] for i in rows["of"]], pa.string())], names=["kind", "k", "h", "id"])
+
+    return items.select("id", "text").mapInArrow(index, schema)
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """Built by the executors: BITS / 64 numbers at most reach the driver."""
+    bit = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1)
+    words = prints.select(F.shiftrightunsigned(bit, 6).alias("w"), F.expr("1L").alias("one"), bit.bitwiseAND(F.lit(63)).cast("int").alias("place"))
+    table = words.selectExpr("w", "shiftleft(one, place) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[table["w"].to_numpy()] = table["b"].to_numpy()
+    return out
+
+
+def probes(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
+    """docs: (a, b, text). (a, b, k, print, at, windows): fingerprints of a text that the bitmap lets through, with their windows' hashes, the first of them at word `at`."""
+    schema = "a bigint, b bigint, k int, print bigint, at bigint, windows array<bigint>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    shift = np.uint64(64 - BITS.bit_length() + 1)
+
+    def there(prints: np.ndarray) -> np.ndarray:
+        bit = (prints >> shift).astype(np.int64)
+        return (bitmap.value[bit >> 6] >> (bit & 63)) & 1 == 1
+
+    def of(key: np.ndarray, texts: list[bytes]):
         h, offsets = T.word_hashes(texts, T.ALNUM, lower=True)
-        starts: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        found: dict[int, set] = {}
-
-        def take(at: np.ndarray, place: np.ndarray, lookup: Lookup, n: int) -> None:
-            starts.append(at)
-            ends.append(at + n)
-            doc = np.searchsorted(offsets, at, "right") - 1
-            for d, p in np.unique(np.stack([doc, place], 1), axis=0).tolist() if len(at) else ():
-                found.setdefault(d, set()).update(lookup.items[lookup.starts[p] : lookup.starts[p + 1]].tolist())
-
-        if len(self.fingerprints) and len(h) >= WINDOW:
-            kept = winnowed(h, offsets)
-            g = T.grams(h, GRAM)[kept]
-            near = np.minimum(np.searchsorted(self.fingerprints, g), len(self.fingerprints) - 1)
-            joined = kept[self.fingerprints[near] == g]
-            if len(joined):
-                windows = np.unique((joined[:, None] - np.arange(WINDOW - GRAM + 1)[None]).ravel())
-                inside = T.within(offsets, WINDOW, len(h))
-                windows = windows[(windows >= 0) & (windows < len(inside))]
-                windows = windows[inside[windows]]
-                place = self.windows.find(T.grams(h, WINDOW)[windows])
-                take(windows[place >= 0], place[place >= 0], self.windows, WINDOW)
-        for n, lookup in self.short.items():
-            place = np.where(T.within(offsets, n, len(h)), lookup.find(T.grams(h, n)), -1) if len(h) >= n else np.zeros(0, int)
-            take(np.flatnonzero(place >= 0), place[place >= 0], lookup, n)
-        hit = T.covered(np.concatenate(starts), np.concatenate(ends), len(h)) if starts else np.zeros(len(h), bool)
-        out = []
-        for i in range(len(texts)):
-            s, e = T.runs(hit[offsets[i] : offsets[i + 1]])
-            out.append((int(offsets[i + 1] - offsets[i]), s, e, found.get(i, set())))
-        return out
+        windows, start, end, prints = fingerprints(h, offsets)
+        ok = there(prints)
+        parts = [(WINDOW, start[ok], end[ok], prints[ok], windows)]
+        for n in lengths:
+            grams = T.grams(h, n)
+            at = np.flatnonzero(T.within(offsets, n, len(h))[: len(grams)] & there(grams))
+            parts.append((n, at, at + 1, grams[at], grams))
+        for k, s, e, p, all_ in parts:
+            if not len(s):
+                continue
+            doc = np.searchsorted(offsets, s, "right") - 1
+            sizes = e - s
+            flat = np.repeat(s - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(_signed(all_[flat])))
+            yield pa.RecordBatch.from_arrays([pa.array(key[doc, 0]), pa.array(key[doc, 1]), pa.array(np.full(len(s), k, np.int32)), pa.array(_signed(p)), pa.array(s - offsets[doc]), lists], names=names)
+
+    def probe(batches):
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
+            texts = T.as_bytes(batch.column(2))
+            _, first = np.unique(key, axis=0, return_index=True)
+            key, texts = key[first], [texts[i] for i in first]
+            for a, b in T.slices(texts):
+                yield from of(key[a:b], texts[a:b])
+
+    return docs.select("a", "b", "text").mapInArrow(probe, schema)
+
+
+def _key(text: Column) -> list[Column]:
+    raw = F.coalesce(text.cast("binary"), F.lit(b""))
+    return [F.xxhash64(F.lit(1), raw), F.xxhash64(raw, F.lit(2))]
+
+
+def found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(a, b, spans: at and k of the windows found, items): a row for each distinct text that holds a window of an item."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).dropna()
+    index = written(indexed(items), "benchmark")
+    prints = index.where("kind = 0").select("k", F.col("h").alias("print")).distinct()
+    windows = index.where("kind = 1").select("k", "h", "id").distinct()
+    lengths = sorted(r["k"] for r in index.where(F.col("k") < WINDOW).select("k").distinct().collect())  # nine at most
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(prints.select(F.col("print").alias("h"))))
+    a, b = _key(F.col(text))
+    met = probes(docs.select(a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text")), sent, lengths).join(prints, ["k", "print"], "left_semi")
+    extended = met.select("a", "b", "k", F.posexplode("windows").alias("place", "h"), "at").select("a", "b", "k", "h", (F.col("at") + F.col("place")).alias("at"))
+    hits = written(extended.join(windows.select("k", "h").distinct(), ["k", "h"], "left_semi").distinct(), "windows")
+    spans = hits.groupBy("a", "b").agg(F.collect_list(F.struct("at", "k")).alias("spans"))  # as many as the text has windows
+    owners = hits.select("a", "b", "k", "h").distinct().join(windows, ["k", "h"]).groupBy("a", "b").agg(F.sort_array(F.collect_set("id")).alias("items"))
+    return written(spans.join(owners, ["a", "b"]), "hits")
 
 
 SCHEMA = "n_words bigint, n_hit bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 _KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def _column(docs: DataFrame, text: str, index: Index):
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by a block
+def n_words(texts: list[bytes]) -> np.ndarray:
+    out = np.zeros(len(texts), np.int64)
+    for buf, at in T.pieces(texts, T.ALNUM):
+        s, _ = T.bounds(buf, T.ALNUM)
+        np.add.at(out, [i for i, _ in at], np.diff(np.r_[np.searchsorted(s, [x for _, x in at]), len(s)]))
+    return out
 
-    def hits(column: pa.Array) -> pa.Array:
-        index = sent.value
-        out = []
-        for n, s, e, items in index.hits(T.as_bytes(column)):
-            out.append({"n_words": n, "n_hit": int((e - s).sum()), "spans": [{"start": int(a), "end": int(b)} for a, b in zip(s, e, strict=True)], "items": sorted({index.ids[k] for k in items})})
-        return pa.array(out, _KIND)
 
-    return F.arrow_udf(hits, SCHEMA)(F.col(text).cast("binary"))
+def _clean(column: pa.Array) -> pa.Array:
+    return pa.array([{"n_words": int(n), "n_hit": 0, "spans": [], "items": []} for n in n_words(T.as_bytes(column))], _KIND)
 
 
-def _blocks(items: DataFrame, block: int):
-    """Lists of (id, text) of at most `block` bytes, or of one item."""
-    size, n = items.agg(F.sum(F.length("text")), F.count("*")).collect()[0]
-    parts = max(1, -(-(size or 0) // block))
-    number = F.pmod(F.xxhash64("id", "text"), F.lit(1))
-    while parts > 1:
-        number = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
-        most = items.groupBy(number.alias("k")).agg(F.sum(F.length("text")).alias("s"), F.count("*").alias("n")).where((F.col("s") > block) & (F.col("n") > 1)).limit(1).count()
-        if not most or parts > 2 * n:
-            break
-        parts *= 2
-    for k in range(parts):
-        rows = items.where(number == k).collect()
-        if rows or parts == 1:
-            yield [r["id"] for r in rows], [bytes(r["text"]) for r in rows]
+def _merged(column: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
+    out = []
+    for n, own, ids in zip(n_words(T.as_bytes(column)).tolist(), spans.to_pylist(), items.to_pylist(), strict=True):
+        at, k = (np.array([x[c] for x in own or ()], np.int64) for c in ("at", "k"))
+        s, e = T.runs(T.covered(at, at + k, n))
+        out.append({"n_words": n, "n_hit": int((e - s).sum()), "spans": [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)], "items": ids or []})
+    return pa.array(out, _KIND)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, into: str = "hits") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "hits") -> DataFrame:
     """All columns of docs and the struct `into` (SCHEMA), which replaces a column of that name: places in words, ids as strings, sorted."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).dropna()
-    blocks = _blocks(items, block)
-    base = docs.withColumn(into, _column(docs, text, Index.of(*next(blocks))))
-    doc, spans, items = (fresh(base, x) for x in ("_doc", "_spans", "_items"))
-    more = [docs.select(F.col(doc_id).alias(doc), _column(docs, text, Index.of(*b)).alias("h")).where("h.n_hit > 0").select(doc, "h.spans", "h.items") for b in blocks]
-    if not more:
-        return base
-    rest = more[0]
-    for m in more[1:]:
-        rest = rest.unionByName(m)
-    rest = rest.groupBy(doc).agg(F.flatten(F.collect_list("spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items))
-    joined = base.join(rest, F.col(doc_id).eqNullSafe(F.col(doc)), "left")
-
-    def merge(mine: pa.Array, more_spans: pa.Array, more_items: pa.Array) -> pa.Array:
-        out = []
-        for row, a, b in zip(mine.to_pylist(), more_spans.to_pylist(), more_items.to_pylist(), strict=True):
-            every = [*row["spans"], *(a or ())]
-            s, e = T.runs(T.covered(np.array([x["start"] for x in every], int), np.array([x["end"] for x in every], int), row["n_words"]))
-            out.append(row | {"n_hit": int((e - s).sum()), "spans": [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)], "items": sorted({*row["items"], *(b or ())})})
-        return pa.array(out, _KIND)
-
-    return joined.withColumn(into, F.arrow_udf(merge, SCHEMA)(F.col(into), F.col(spans), F.col(items))).drop(doc, spans, items)
+    a, b, spans, items, held = (fresh(docs, x) for x in ("_a", "_b", "_spans", "_items", "_held"))
+    some = found(docs, benchmark, text, item_id, item_text).select(F.col("a").alias(a), F.col("b").alias(b), F.col("spans").alias(spans), F.col("items").alias(items))
+    raw, (key_a, key_b) = F.col(text).cast("binary"), _key(F.col(text))
+    # Texts without a hit stay where they are; the others meet what was found in them.
+    marked = docs.withColumn(held, IdFilter(some, a).may_hold(key_a))
+    hit = marked.where(F.col(held)).withColumns({f"{a}{a}": key_a, f"{b}{b}": key_b})
+    hit = hit.join(some, (F.col(f"{a}{a}") == F.col(a)) & (F.col(f"{b}{b}") == F.col(b)), "left").withColumn(into, F.arrow_udf(_merged, SCHEMA)(raw, F.col(spans), F.col(items)))
+    rest = marked.where(~F.col(held)).withColumn(into, F.arrow_udf(_clean, SCHEMA)(raw))
+    return hit.drop(held, a, b, f"{a}{a}", f"{b}{b}", spans, items).unionByName(rest.drop(held))

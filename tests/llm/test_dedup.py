@@ -75,16 +75,24 @@ def contaminated(docs, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_benchmark(spark, odd_docs, texts, block):
-    docs = odd_docs.where("NOT (doc_id <=> 40)")  # repeated rows are below
-    rows = [(i, t) for i, t, *_ in texts if i != 40]
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 6])
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_benchmark(spark, monkeypatch, odd_docs, texts, bits, threshold):
+    """Null and repeated ids included; with a full bitmap, and where every join is by shuffle."""
+    monkeypatch.setattr(decontamination, "BITS", bits)
+    own = [(7, "one other text"), (7, next(t for i, t, *_ in texts if i == 5)), (None, "alpha of the end"), (None, "nothing"), (None, None)]
+    docs = odd_docs.unionByName(spark.createDataFrame(own, "doc_id bigint, text string"), allowMissingColumns=True)
+    rows = [(i, t) for i, t, *_ in texts] + own
     shared = next(t for i, t in rows if i == 6)
     words = shared.split()
-    items = [(1, shared), (2, shared), (3, " ".join(words[20:30])), (4, " ".join(words[5:14])), (5, "alpha"), (6, "A b, C"), (7, None), (8, ""), (9, "nothing of this is there in any of the documents at all"), (10, " ".join(words[50:]) + " and then some other words follow on")]
+    items = [(1, shared), (2, shared), (3, " ".join(words[20:30])), (4, " ".join(words[5:14])), (5, "alpha"), (6, "A b, C"), (7, None), (8, ""), (9, "nothing of this is there in any of the documents at all"), (10, " ".join(words[50:]) + " and then some other words follow on"), (None, shared), (11, "word " * 12)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontamination.decontaminate(docs, benchmark, block=block).collect()
-    assert Counter((r["doc_id"], r["hits"]["n_words"], r["hits"]["n_hit"], tuple(r["hits"]["items"])) for r in got) == contaminated(rows, items)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = decontamination.decontaminate(docs, benchmark).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter((r["doc_id"], r["hits"]["n_words"], r["hits"]["n_hit"], tuple(r["hits"]["items"])) for r in got) == contaminated(rows, [x for x in items if x[0]])
     assert all(sum(s["end"] - s["start"] for s in r["hits"]["spans"]) == r["hits"]["n_hit"] for r in got)
 
 
@@ -96,14 +104,36 @@ def test_benchmark_of_nothing_and_repeated_rows(spark, odd_docs, no_docs):
     assert decontamination.decontaminate(odd_docs, one).where("hits.n_hit > 0 AND doc_id = 40").count() == 2
 
 
-def test_winnowing_meets_every_shared_window():
+def test_equal_windows_have_equal_fingerprints():
+    import numpy as np
+
+    from scholia.llm import textnum as T
+
     rng = random.Random(4)
-    words = [rng.choice("abcdefg") for _ in range(600)]
-    for _ in range(60):
-        at = rng.randrange(590)
-        item = " ".join(words[at : at + 10])
-        (n, s, e, found) = decontamination.Index.of(["x"], [item.encode()]).hits([" ".join(words).encode()])[0]
-        assert found == {0} and any(a <= at and at + 10 <= b for a, b in zip(s, e, strict=True))
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)).encode() for n in (600, 9, 10, 0, 11, 300)]
+    h, offsets = T.word_hashes(texts, T.ALNUM, lower=True)
+    windows, start, end, prints = decontamination.fingerprints(h, offsets)
+    of = {}
+    for s, e, p in zip(start, end, prints, strict=True):
+        for w in range(s, e):
+            assert w not in of
+            of[w] = p
+    inside = np.flatnonzero(T.within(offsets, 10, len(h)))
+    assert sorted(of) == inside.tolist()
+    assert all(of[w] == T.grams(h, 5)[w : w + 6].min() for w in of)
+    one, _ = T.word_hashes([b" ".join(texts[0].split()[40:50])], T.ALNUM, lower=True)
+    alone = decontamination.fingerprints(one, np.array([0, 10]))
+    assert alone[3].tolist() == [of[40]] and alone[0][0] == windows[40]
+
+
+def test_words_of_one_polynomial_hash_apart():
+    """Thue-Morse words and their complements, which collide in any polynomial hash modulo 2 ** 64."""
+    from scholia.llm import textnum as T
+
+    for n in (256, 1024, 2048, 4096):
+        a = bytes(97 + i.bit_count() % 2 for i in range(n))
+        h, _ = T.word_hashes([a, bytes(195 - x for x in a)], T.ALNUM, lower=True)
+        assert h[0] != h[1]
 
 
 def bytes_left(rows, span=50):
