@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
 from scholia.llm.idfilter import IdFilter
-from scholia.llm.tables import fresh, written
+from scholia.llm.tables import fresh, is_small, written
 
 WINDOW, GRAM = 10, 5
 #: Bits of the map of fingerprints, whatever the benchmark's size.
 BITS = 1 << 25
 
 
-def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts of words h[offsets[i]:offsets[i + 1]]: the windows' hashes; starts, ends and fingerprints of the runs of windows that share one."""
+def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of words h[offsets[i]:offsets[i + 1]]: starts, ends and fingerprints of the runs of windows that share one."""
     least = T.sliding_min(T.grams(h, GRAM), WINDOW - GRAM + 1)
     inside = T.within(offsets, WINDOW, len(h))
     new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])][: len(least)]
@@ -40,7 +40,7 @@ def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     start = np.flatnonzero(new)
     end = np.r_[start[1:], len(least)][: len(start)]
     ok = inside[start]
-    return T.grams(h, WINDOW), start[ok], end[ok], least[start[ok]]
+    return start[ok], end[ok], least[start[ok]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -58,9 +58,9 @@ def indexed(items: DataFrame) -> DataFrame:
                 h, offsets = T.word_hashes(texts[a:b], T.ALNUM, lower=True)
                 sizes = np.diff(offsets)
                 owner = np.repeat(np.arange(a, b), sizes)
-                windows, _, _, prints = fingerprints(h, offsets)
+                prints = fingerprints(h, offsets)[2]
                 inside = np.flatnonzero(T.within(offsets, WINDOW, len(h)))
-                k, found, of = [np.full(len(inside), WINDOW)], [windows[inside]], [owner[inside]]
+                k, found, of = [np.full(len(inside), WINDOW)], [T.grams_at(h, inside, WINDOW)], [owner[inside]]
                 for n in range(1, WINDOW):
                     if len(at := offsets[:-1][sizes == n]):
                         k, found, of = [*k, np.full(len(at), n)], [*found, T.grams(h, n)[at]], [*of, owner[at]]
@@ -96,20 +96,20 @@ def probes(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
 
     def of(key: np.ndarray, texts: list[bytes]):
         h, offsets = T.word_hashes(texts, T.ALNUM, lower=True)
-        windows, start, end, prints = fingerprints(h, offsets)
+        start, end, prints = fingerprints(h, offsets)
         ok = there(prints)
-        parts = [(WINDOW, start[ok], end[ok], prints[ok], windows)]
+        parts = [(WINDOW, start[ok], end[ok], prints[ok])]
         for n in lengths:
             grams = T.grams(h, n)
             at = np.flatnonzero(T.within(offsets, n, len(h))[: len(grams)] & there(grams))
-            parts.append((n, at, at + 1, grams[at], grams))
-        for k, s, e, p, all_ in parts:
+            parts.append((n, at, at + 1, grams[at]))
+        for k, s, e, p in parts:
             if not len(s):
                 continue
             doc = np.searchsorted(offsets, s, "right") - 1
             sizes = e - s
             flat = np.repeat(s - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(_signed(all_[flat])))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(_signed(T.grams_at(h, flat, k))))
             yield pa.RecordBatch.from_arrays([pa.array(key[doc, 0]), pa.array(key[doc, 1]), pa.array(np.full(len(s), k, np.int32)), pa.array(_signed(p)), pa.array(s - offsets[doc]), lists], names=names)
 
     def probe(batches):
@@ -140,10 +140,9 @@ def found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_t
     a, b = _key(F.col(text))
     met = probes(docs.select(a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text")), sent, lengths).join(prints, ["k", "print"], "left_semi")
     extended = met.select("a", "b", "k", F.posexplode("windows").alias("place", "h"), "at").select("a", "b", "k", "h", (F.col("at") + F.col("place")).alias("at"))
-    hits = written(extended.join(windows.select("k", "h").distinct(), ["k", "h"], "left_semi").distinct(), "windows")
-    spans = hits.groupBy("a", "b").agg(F.collect_list(F.struct("at", "k")).alias("spans"))  # as many as the text has windows
-    owners = hits.select("a", "b", "k", "h").distinct().join(windows, ["k", "h"]).groupBy("a", "b").agg(F.sort_array(F.collect_set("id")).alias("items"))
-    return written(spans.join(owners, ["a", "b"]), "hits")
+    # Sets are gathered in part before the shuffle, and hold no more than a text's windows and the items found in it.
+    both = extended.join(windows, ["k", "h"]).groupBy("a", "b").agg(F.collect_set(F.struct("at", "k")).alias("spans"), F.sort_array(F.collect_set("id")).alias("items"))
+    return written(both, "hits")
 
 
 SCHEMA = "n_words bigint, n_hit bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
@@ -176,9 +175,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     a, b, spans, items, held = (fresh(docs, x) for x in ("_a", "_b", "_spans", "_items", "_held"))
     some = found(docs, benchmark, text, item_id, item_text).select(F.col("a").alias(a), F.col("b").alias(b), F.col("spans").alias(spans), F.col("items").alias(items))
     raw, (key_a, key_b) = F.col(text).cast("binary"), _key(F.col(text))
-    # Texts without a hit stay where they are; the others meet what was found in them.
+    own_a, own_b = a + a, b + b
+
+    def met(rows: DataFrame) -> DataFrame:
+        joined = rows.withColumns({own_a: key_a, own_b: key_b}).join(some, (F.col(own_a) == F.col(a)) & (F.col(own_b) == F.col(b)), "left")
+        return joined.withColumn(into, F.arrow_udf(_merged, SCHEMA)(raw, F.col(spans), F.col(items))).drop(a, b, own_a, own_b, spans, items)
+
+    if is_small(some):
+        return met(docs)
+    # Texts without a hit stay where they are; only the others are shuffled to what was found in them.
     marked = docs.withColumn(held, IdFilter(some, a).may_hold(key_a))
-    hit = marked.where(F.col(held)).withColumns({f"{a}{a}": key_a, f"{b}{b}": key_b})
-    hit = hit.join(some, (F.col(f"{a}{a}") == F.col(a)) & (F.col(f"{b}{b}") == F.col(b)), "left").withColumn(into, F.arrow_udf(_merged, SCHEMA)(raw, F.col(spans), F.col(items)))
-    rest = marked.where(~F.col(held)).withColumn(into, F.arrow_udf(_clean, SCHEMA)(raw))
-    return hit.drop(held, a, b, f"{a}{a}", f"{b}{b}", spans, items).unionByName(rest.drop(held))
+    return met(marked.where(F.col(held))).drop(held).unionByName(marked.where(~F.col(held)).withColumn(into, F.arrow_udf(_clean, SCHEMA)(raw)).drop(held))

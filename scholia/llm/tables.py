@@ -47,6 +47,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark will send df's rows to all tasks in a join, by the size of the files they stand in."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 < limit and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have (names don't differ by case alone)."""
     taken = {c.lower() for c in df.columns}

@@ -120,6 +120,14 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def grams_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """grams(h, n)[at]."""
+    out = np.zeros(len(at), U64)
+    for i in range(n):
+        out = out * _STEP + h[at + i]
+    return mix(out)
+
+
 def within(offsets: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of the grams() over all texts' items lie in one text."""
     ok = np.ones(max(total - n + 1, 0), bool)
