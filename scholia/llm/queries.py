@@ -24,7 +24,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_classifier.quality_classifier(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "chance", "sample_key", "kept")
+    return quality_classifier.quality_classifier(docs, table(spark, sf_dir, "labels"), columns=["doc_id"]).select("doc_id", "log_weight", "chance", "sample_key", "kept")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,11 @@ def substring(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[buf]
+
+
 def bounds(buf: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that `word` marks."""
     edge = np.diff(np.r_[False, word[buf], False].astype(np.int8))
@@ -101,7 +106,7 @@ def word_hashes(texts: list[bytes], word: np.ndarray, lower: bool) -> tuple[np.n
     out, counts = [], np.zeros(len(texts), np.int64)
     for buf, at in pieces(texts, word):
         if lower:
-            buf = _LOWER[buf]
+            buf = lowered(buf)
         s, e = bounds(buf, word)
         out.append(substring(buf, s, e))
         ids, starts = np.array([x for x, _ in at]), np.array([x for _, x in at])
