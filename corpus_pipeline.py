@@ -13,7 +13,7 @@ from scholia.llm.tables import fresh, table, written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling keeps."""
-    return quality_classifier.fit_sampler(docs, table(spark, sf_dir, "labels")).keep(docs)
+    return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
