@@ -138,7 +138,7 @@ def test_words_of_one_polynomial_hash_apart():
 
 
 def bytes_left(rows, span=50):
-    """rows: (doc_id, bytes), ids distinct."""
+    """rows: (doc_id, bytes). By (doc_id, bytes)."""
     first = {}
     for doc, b in rows:
         for i in range(len(b) - span + 1):
@@ -151,7 +151,7 @@ def bytes_left(rows, span=50):
             if first[b[i : i + span]] < doc:
                 gone[i : i + span] = b"\1" * span
         spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
-        out[doc] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g))
+        out[doc, b] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g))
     return out
 
 
@@ -189,26 +189,66 @@ def test_substrings(spark, monkeypatch, seed, small):
     found = pa.Table.from_batches(list(suffix_array._classes(iter(table.to_batches(max_chunksize=7)), 50)))
     spans = {}
     opened = {}
-    for kind, gram, doc, start, n in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        (spans if kind == suffix_array.REPEAT else opened).setdefault(doc, []).append((start, n) if kind == suffix_array.REPEAT else (gram, start, n))
-    windows = [(gram, b[i : i + 50], doc, i) for doc, b in rows for gram, start, n in opened.get(doc, []) for i in range(start, start + n)]
+    for kind, doc, start, n in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        (spans if kind == suffix_array.REPEAT else opened).setdefault(doc, []).append((start, n))
+    windows = [(b[i : i + 50], doc, i) for doc, b in rows for start, n in opened.get(doc, []) for i in range(start, start + n)]
     first = {}
-    for gram, w, doc, _ in windows:
-        first[gram, w] = min(first.get((gram, w), doc), doc)
-    for gram, w, doc, i in windows:
-        if first[gram, w] < doc:
+    for w, doc, _ in windows:
+        first[w] = min(first.get(w, doc), doc)
+    for w, doc, i in windows:
+        if first[w] < doc:
             spans.setdefault(doc, []).append((i, 50))
     for doc, b in rows:
         r = suffix_array.cut(b, [s << 32 | n for s, n in spans.get(doc, [])])
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) == want[doc], doc
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) == want[doc, b], doc
     assert held == [] and size == 0
 
 
-def test_substrings_in_spark(spark):
-    rows = repeated_documents(9)
+def removed_in_spark(docs):
+    got = suffix_array.suffix_array_dedup(docs).collect()
+    return Counter((r["doc_id"], bytes((r["text"] or "").encode()), r["repeats"]["n_bytes"], r["repeats"]["n_removed"], r["repeats"]["n_spans"], bytes(r["repeats"]["kept"])) for r in got)
+
+
+@pytest.mark.parametrize("seed", [9, 10, 11])
+@pytest.mark.parametrize("share", [1 / 8, 0.0])
+def test_substrings_in_spark(spark, monkeypatch, seed, share):
+    """share 0: many grams are dealt as frequent ones."""
+    monkeypatch.setattr(suffix_array, "SAMPLED", 2)
+    monkeypatch.setattr(suffix_array, "SHARE", share)
+    rows = [(i, b) for i, b in repeated_documents(seed) if b.isascii()]
     docs = spark.createDataFrame([(i, b.decode()) for i, b in rows], "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: tuple(r["repeats"][k] for k in ("n_bytes", "n_removed", "n_spans", "kept")) for r in suffix_array.suffix_array_dedup(docs).collect()}
-    assert {i: (*x[:3], bytes(x[3])) for i, x in got.items()} == bytes_left(rows)
+    want = bytes_left(rows)
+    assert removed_in_spark(docs) == Counter((i, b, *want[i, b]) for i, b in rows)
+
+
+@pytest.mark.parametrize("large", [0, (1 << 62) - 3])
+def test_one_id_on_several_texts(spark, large):
+    """Each of its texts is judged against smaller ids only; ids with room for a text's number, and without."""
+    rng = random.Random(4)
+    prose = [bytes(rng.choice(b"abcdefgh ") for _ in range(160)) for _ in range(4)]
+    rows = [(3, prose[0]), (3, prose[1] + prose[0][:70]), (3, b"short"), (3, prose[0]), (5, prose[0][20:] + prose[2]), (5, prose[2] + b"!"), (5, prose[1]), (7, prose[2]), (7, b""), (-2, prose[3]), (8, prose[3]), (large + 9, prose[3][:90])]
+    want = bytes_left(rows)
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in rows] + [(None, prose[0].decode()), (3, None)], "doc_id bigint, text string").repartition(3)
+    extra = [(None, prose[0], 160, 0, 0, prose[0]), (3, b"", 0, 0, 0, b"")]
+    assert removed_in_spark(docs) == Counter([(i, b, *want[i, b]) for i, b in rows] + extra)
+
+
+def test_ranks_are_equal_where_the_bytes_are():
+    import numpy as np
+
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"ab") for _ in range(400)) * 2 + bytes(rng.choice(b"abc") for _ in range(300))
+    ranks = suffix_array.Ranks(np.frombuffer(text, np.uint8))
+    assert sorted(ranks.levels) == [12, 24, 48]
+    for length in (12, 20, 24, 40, 48, 50, 60, 88, 96):
+        start = np.arange(len(text) - length + 1)
+        named, seen = ranks.of(start, length).tolist(), {}
+        for i, r in enumerate(named):
+            assert seen.setdefault(text[i : i + length], r) == r
+        assert len(set(seen.values())) == len(seen)
+    # A rank is the name of two earlier ranks.
+    r24, r48 = ranks.levels[24], ranks.levels[48]
+    assert (suffix_array.name(r24[: len(r48)], r24[24 : 24 + len(r48)]) == r48).all()
 
 
 @pytest.mark.parametrize("parts", [1, 2])
@@ -224,11 +264,11 @@ def test_unlike_runs_whose_hashes_begin_alike_stay(spark, parts):
 def test_substrings_of_odd_rows(odd_docs, no_docs, texts):
     short = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (9, 10)")
     rows = [(i, (t or "").encode()) for i, t, *_ in texts if i not in (9, 10)]
-    want = bytes_left(list({i: (i, b) for i, b in rows if i is not None}.values()))
+    want = bytes_left([x for x in rows if x[0] is not None])
     got = suffix_array.suffix_array_dedup(short).collect()
     assert len(got) == len(rows)
     for r in got:
-        n, removed, spans, kept = want.get(r["doc_id"], (len((r["text"] or "").encode()), 0, 0, (r["text"] or "").encode()))
+        n, removed, spans, kept = want.get((r["doc_id"], (r["text"] or "").encode()), (len((r["text"] or "").encode()), 0, 0, (r["text"] or "").encode()))
         assert (r["repeats"]["n_bytes"], r["repeats"]["n_removed"], r["repeats"]["n_spans"], bytes(r["repeats"]["kept"])) == (n, removed, spans, kept)
         assert r["_spans"] == "mine"
     assert suffix_array.suffix_array_dedup(no_docs).count() == 0
