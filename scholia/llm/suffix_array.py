@@ -71,8 +71,8 @@ def _ways(span: int) -> list[tuple[int, int, int, int, int]]:
 
 
 def name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The rank of a pair of ranks."""
-    return T.mix(a * np.uint64(0x9E3779B97F4A7C15) ^ T.mix(b + np.uint64(1)))
+    """The rank of a pair of ranks (which are mixed already, so that a multiplication each is enough before the next mixing)."""
+    return T.mix(a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xD1342543DE82EF95))
 
 
 class Ranks:
@@ -81,7 +81,7 @@ class Ranks:
     def __init__(self, buf: np.ndarray, longest: int = 48) -> None:
         n = len(buf)
         eight = np.ascontiguousarray(T.eight(buf)[:n])
-        self.levels = {GRAM: name(eight[: max(0, n - GRAM + 1)], eight[8 : n - 3] & np.uint64(0xFFFFFFFF))}
+        self.levels = {GRAM: name(eight[: max(0, n - GRAM + 1)], T.mix((eight[8 : n - 3] & np.uint64(0xFFFFFFFF)) + np.uint64(1)))}
         size = GRAM
         while 2 * size <= longest:
             r = self.levels[size]
