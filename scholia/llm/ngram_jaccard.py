@@ -2,20 +2,25 @@
 
 The incidence matrix has a row for each distinct set of 5-word shingles (lower-cased A-Z, words between ASCII
 white space) and a column for each shingle. Two rows link when 100 * overlap >= 80 * union. Overlaps are entries
-of the matrix times its transpose, of which only these are computed:
+of the matrix times its transpose. Of the matrix these columns enter:
 
 * Documents of equal sets are one row; its number is their least doc_id. Copies never meet each other.
 * Rows linked at 0.8 share one of the first n/5 + 1 of their n shingles, in any order common to all rows. The order
   is rare first, by a count sketch of fixed size, so that frequent shingles are left out wherever a row has others.
-  Only those columns are multiplied to find candidates; columns of equal rows are multiplied once.
-* A pair is discarded where the smaller row has under 0.8 of the larger one's shingles, or where bitmaps of the
-  rows differ in more bits than linked rows of such sizes differ in shingles.
-* Candidates' overlaps are accumulated over their whole rows, a block of pairs at a time.
+  Only these entries are multiplied. Columns of equal rows are multiplied once, with their number as weight.
 
-A column of m rows isn't multiplied in full at once. First its rows meet two hub rows, and the links found join
-components. Then, in columns whose rows aren't all in one component, blocks of BLOCK rows meet each other inside a task,
-by their bitmaps; only pairs that are in different components and may link leave the task. No link that matters to a
-component is lost, and a group of near copies costs a row or two for each of them, not for each pair.
+The product is done in blocks of BLOCK by BLOCK rows of a column, inside tasks. A block adds a column's weight to each of its
+pairs; Spark sums a pair's weights over all columns and blocks. With overlap c among the first entries, the whole overlap
+is at most c plus the entries that the longer rest of the two rows has; pairs whose bound, or whose sizes, can't reach the
+threshold are discarded. Pairs in one component already, and pairs whose bitmaps differ in more bits than linked rows of
+such sizes differ in shingles, aren't accumulated. What is left is multiplied over whole rows.
+
+Before the product, each column's rows meet the column's least row and the least row of their own size class, and the links
+found join components. So a group of near copies costs a row or two for each of them, not for each pair. No link that matters
+to a component is lost.
+
+No task takes a whole column of any length: entries of columns that the sketch takes for frequent are dealt by column and a
+share of the rows (the salt), their counts and least rows are aggregated in part before they are shuffled.
 
 Null and empty texts have no shingles and link with nothing: they are their own component. With fewer than five
 words, the whole sequence is one shingle. Rows that repeat a doc_id get equal results; a null doc_id is never
@@ -29,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm import textnum as T
@@ -40,7 +45,11 @@ from scholia.llm.tables import fresh, written
 N, PERCENT = 5, 80
 SKETCH = 1 << 17
 BLOCK = 1024
-#: Entries of a block of the product.
+#: Entries of a column, by the sketch, that go to one task; columns with more, and with so many times the sketch's mean, are split.
+SPLIT, TIMES = 4096, 4
+#: Rows of one text are dealt to so many tasks when they meet their component.
+SHARES = 16
+#: Entries of a block of whole rows.
 ENTRIES = 400_000
 #: Numbers of rows without an id begin here.
 OWN = 1 << 62
@@ -83,40 +92,54 @@ def _described(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
     return columns.mapInArrow(run, "kind int, doc_id bigint, k bigint, v bigint")
 
 
+def first_entries(n: int, percent: int) -> int:
+    """How many of a row's n entries, in the common order, a row that links with it must share one of."""
+    return n - -(-percent * n // 100) + 1
+
+
 def _prefixes(docs: DataFrame, text: str, sent, n: int, percent: int) -> DataFrame:
-    """(shingle, k, size): the rare shingles of each distinct set of an Arrow batch."""
+    """(shingle, salt, k, size): the rare shingles of each distinct set of an Arrow batch. salt: 0, or the share of a frequent column's rows, from 1."""
 
     def run(batches):
         sketch = sent.value
+        most = max(SPLIT, int(TIMES * sketch.mean()))
         for batch in batches:
-            seen, shingles, numbers, sizes = set(), [], [], []
+            seen, shingles, numbers, sizes, counts = set(), [], [], [], []
             for row in shingle_sets(T.as_bytes(batch.column(0)), n):
                 k = set_number(row)
                 if not len(row) or k in seen:
                     continue
                 seen.add(k)
-                first = len(row) - -(-percent * len(row) // 100) + 1
-                shingles.append(row[np.lexsort((row, sketch[(row % np.uint64(SKETCH)).astype(np.int64)]))[:first]])
+                count = sketch[(row % np.uint64(SKETCH)).astype(np.int64)]
+                chosen = np.lexsort((row, count))[: first_entries(len(row), percent)]
+                shingles.append(row[chosen])
+                counts.append(count[chosen])
                 numbers.append(k)
                 sizes.append(len(row))
             if shingles:
                 lengths = list(map(len, shingles))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).astype(np.int64)), pa.array(np.repeat(numbers, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32))], names=["shingle", "k", "size"])
+                shares = np.concatenate(counts) // most
+                k = np.repeat(numbers, lengths)
+                salt = np.where(shares > 0, 1 + T.mix(k.astype(np.uint64)) % (shares + 1).astype(np.uint64), np.uint64(0)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).astype(np.int64)), pa.array(salt), pa.array(k), pa.array(np.repeat(sizes, lengths).astype(np.int32))], names=["shingle", "salt", "k", "size"])
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "shingle bigint, k bigint, size int")
+    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "shingle bigint, salt int, k bigint, size int")
 
 
 def _columns(prefixes: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(shingle, node, size, rank, m): columns that two rows or more share, one of those of equal rows."""
-    rows = prefixes.repartition(F.col("shingle")).groupBy("shingle", "k").agg(F.first("size").alias("size"))
-    column = Window.partitionBy("shingle").orderBy("k")
-    shared = rows.withColumn("near", F.coalesce(F.lag("k").over(column), F.lead("k").over(column))).where("near IS NOT NULL")
-    rows = written(shared.select("shingle", "k", "size"), "shared")
+    """(shingle, salt, node, size, m, weight): entries of columns that two rows or more share, one of those of equal rows. m: the column's entries; weight: the number of equal columns."""
+    rows = prefixes.repartition("shingle", "salt").groupBy("shingle", "salt", "k").agg(F.first("size").alias("size"))
+    share = Window.partitionBy("shingle", "salt").orderBy("k")  # a share of a frequent column, or a column that isn't
+    shared = rows.withColumn("near", F.coalesce(F.lag("k").over(share), F.lead("k").over(share))).where("near IS NOT NULL OR salt > 0")
+    rows = written(shared.select("shingle", "salt", "k", "size"), "shared")
     marks = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "k")).alias("y")).where("m > 1")
-    one = marks.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", "m")
-    kept = rows.join(one, "shingle").join(numbers, "k").select("shingle", "node", "size", "m")
-    rank = F.row_number().over(Window.partitionBy("shingle").orderBy("size", "node")) - 1
-    return kept.withColumn("rank", rank)
+    one = marks.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")).select("shingle", "m", "weight")
+    kept = rows.join(one.join(_shares(rows), "shingle"), ["shingle", "salt"])
+    return kept.join(numbers, "k").select("shingle", "salt", "node", "size", "m", "weight")
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    return rows.select("shingle", "salt").distinct()
 
 
 def bitmap(row: np.ndarray, size: int = BITMAP) -> bytes:
@@ -149,37 +172,58 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITMAP // 64)
 
 
+def _may_reach(size_x: Column, size_y: Column, c: Column, percent: int) -> Column:
+    """Whether rows that share c of their first entries may link: common entries beyond them are among the rest of the row whose first entries end first."""
+    rest = F.greatest(*(F.ceil(s * percent / F.lit(100)) - 1 for s in (size_x, size_y)))
+    return (c + rest) * (100 + percent) >= percent * (size_x + size_y)
+
+
 def _with_hubs(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of a column's least and middle row with its other rows, as far as their sizes allow a link."""
-    hubs = columns.where("rank = 0 OR rank = m div 2").select("shingle", F.col("node").alias("hub"), F.col("size").alias("hub_size"))
-    met = hubs.join(columns, "shingle").where((F.col("node") != F.col("hub")) & (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")))
-    return met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+    """Pairs (x, y) of a column's rows with its least row, and with the least one of their own size class, as far as their sizes allow a link."""
+    step = float(np.log(100 / percent))
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(step))
+    rows = columns.withColumn("class", size_class)
+    least = F.min(F.struct("size", "node")).alias("hub")  # in part before the shuffle
+    of_all = columns.groupBy("shingle").agg(least).join(_shares(columns), "shingle").select("shingle", "salt", "hub")
+    of_class = rows.groupBy("shingle", "class").agg(least).join(rows.select("shingle", "class", "salt").distinct(), ["shingle", "class"]).select("shingle", "class", "salt", "hub")
+    near = (F.col("node") != F.col("hub.node")) & (100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size"))
+    met = [h.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")) for h in (columns.join(of_all, ["shingle", "salt"]).where(near), rows.join(of_class, ["shingle", "class", "salt"]).where(near))]
+    return met[0].unionByName(met[1]).distinct()
 
 
 def _in_blocks(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of a column's rows that are in different components and may link. columns: with label and bits."""
-    own = F.expr(f"rank div {BLOCK}")
-    rows = columns.withColumn("own", own).withColumn("other", F.explode(F.expr(f"sequence(0L, (m - 1) div {BLOCK})")))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "label", "bits")
+    """Pairs (x, y) of rows in different components whose overlap, accumulated over all columns, may reach the threshold. columns: with label and bits."""
+    blocks = F.expr(f"(m + {BLOCK - 1}) div {BLOCK}")
+    rows = columns.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "weight", "node", "size", "label", "bits")
     rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    names = ["x", "y", "c", "size_x", "size_y"]
 
     def multiply(block: pa.Table):
-        i, j, own = block["i"][0].as_py(), block["j"][0].as_py(), block["own"].to_numpy()
+        """A block's pairs as (x, y, weight, sizes); those that can't link are 0 in the product and left out."""
+        i, j, own, weight = block["i"][0].as_py(), block["j"][0].as_py(), block["own"].to_numpy(), block["weight"][0].as_py()
         node, size, label, bits = block["node"].to_numpy(), block["size"].to_numpy(), block["label"].to_numpy(), _words(block["bits"].combine_chunks())
+        place = np.arange(len(node))
         for a in range(len(node)):
             if own[a] != i:
                 continue
-            with_ = np.flatnonzero((own == j) & (label != label[a]) & ((np.arange(len(node)) > a) | (i != j)))
+            with_ = np.flatnonzero((own == j) & (label != label[a]) & ((place > a) | (i != j)))
             if len(with_):
                 with_ = with_[_may_link(bits[a], bits[with_], size[a], size[with_], percent)]
-                yield from ((min(node[a], node[b]), max(node[a], node[b])) for b in with_)
+                least = node[with_] < node[a]
+                yield np.stack([np.where(least, node[with_], node[a]), np.where(least, node[a], node[with_]), np.full(len(with_), weight), np.where(least, size[with_], size[a]), np.where(least, size[a], size[with_])], 1)
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
 
         def closed(found):
-            found = sorted(set(found))
-            return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], names=["x", "y"])
+            """Weights summed over the columns at hand."""
+            rows = np.concatenate([np.zeros((0, 5), np.int64), *found])
+            order = np.lexsort((rows[:, 1], rows[:, 0]))
+            rows = rows[order]
+            new = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)][: len(rows)])
+            c = np.add.reduceat(rows[:, 2], new) if len(new) else rows[:, 2]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[new, 0], rows[new, 1], c, rows[new, 3], rows[new, 4])], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -194,9 +238,10 @@ def _in_blocks(columns: DataFrame, percent: int) -> DataFrame:
                 waiting.append(batch.slice(a, b - a))
             yield closed(found)
         if waiting:
-            yield closed(multiply(pa.Table.from_batches(waiting)))
+            yield closed(list(multiply(pa.Table.from_batches(waiting))))
 
-    return rows.mapInArrow(run, "x bigint, y bigint").distinct()
+    product = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).groupBy("x", "y").agg(F.sum("c").alias("c"), F.first("size_x").alias("size_x"), F.first("size_y").alias("size_y"))
+    return product.where(_may_reach(F.col("size_x"), F.col("size_y"), F.col("c"), percent)).select("x", "y")
 
 
 def _of_nodes(nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, what: str, describe) -> DataFrame:
@@ -294,9 +339,8 @@ def _linked(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Da
     links = written(_verified(pairs, marks, rows_of, percent), "links")
     if links.limit(1).count():
         labels = components(links)
-    # Columns of up to three rows are done: each pair has a hub in it.
-    labelled = columns.where("m > 3")
-    labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # All columns of two components or more, so that a pair's overlap is accumulated in full.
+    labelled = columns.withColumn("label", F.col("node")) if labels is None else columns.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
     opened = labelled.join(several, "shingle", "left_semi").join(marks.select(F.col("id").alias("node"), "bits"), "node")
     pairs = written(_in_blocks(opened, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
@@ -307,5 +351,9 @@ def _linked(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Da
     found = numbers.where("copies > 1 or node is null")
     if labels is not None:
         found = numbers.join(labels, "node", "left").where("copies > 1 or label is not null or node is null").select("k", F.coalesce("label", "node").alias("node"))
-    joined = sets.join(found.select("k", F.col("node").alias("_node")), (sets["k"] == found["k"]) & (sets["n_shingles"] > 0), "left")
+    # Copies of one text are dealt to SHARES tasks by their place in the written table.
+    share = F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))
+    left = sets.withColumn("_share", share)
+    right = found.select(F.col("k").alias("_k"), F.col("node").alias("_node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))).alias("_at"))
+    joined = left.join(right, (F.col("k") == F.col("_k")) & (F.col("_share") == F.col("_at")) & (F.col("n_shingles") > 0), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("_node", "doc_id").alias("component_id"))

@@ -320,14 +320,38 @@ def near_copies(seed):
 
 @pytest.mark.parametrize("block", [1024, 4])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components_of_near_copies(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("split", [4096, 3])
+def test_components_of_near_copies(spark, monkeypatch, seed, block, split):
+    """In small blocks, and with most columns split."""
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "SPLIT", split)
     rows = near_copies(seed)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.ngram_jaccard(docs).collect()}
     assert got == linked(rows)
 
 
+def test_accumulated_overlaps_bound_the_whole_overlap(spark):
+    """No pair that links is discarded by its count of shared first entries, whatever the order of shingles."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(3000):
+        n = rng.randrange(1, 60)
+        x = set(rng.sample(range(200), n))
+        y = set(x)
+        for _ in range(rng.randrange(0, max(1, n // 4) + 1)):
+            y.discard(rng.choice(sorted(x)))
+            if rng.random() < 0.6:
+                y.add(rng.randrange(200))
+        if y and 100 * len(x & y) >= 80 * len(x | y):
+            px, py = (set(sorted(s)[: ngram_jaccard.first_entries(len(s), 80)]) for s in (x, y))
+            assert px & py
+            rows.append((len(x), len(y), len(px & py)))
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint")
+    assert len(rows) > 500 and df.where(~ngram_jaccard._may_reach(F.col("a"), F.col("b"), F.col("c"), 80)).count() == 0
+    assert spark.createDataFrame([(100, 100, 1), (100, 100, 8)], "a bigint, b bigint, c bigint").where(ngram_jaccard._may_reach(F.col("a"), F.col("b"), F.col("c"), 80)).count() == 0
+
+
 def test_near_copies_without_an_id_link(spark):
     words = [f"w{i}" for i in range(120)]
     chain = []
