@@ -15,8 +15,8 @@ is at most c plus the entries that the longer rest of the two rows has; pairs wh
 threshold are discarded. Pairs in one component already, and pairs whose bitmaps differ in more bits than linked rows of
 such sizes differ in shingles, aren't accumulated. What is left is multiplied over whole rows.
 
-Before the product, each column's rows meet the column's least row and the least row of their own size class, and the links
-found join components. So a group of near copies costs a row or two for each of them, not for each pair. No link that matters
+Before the product, each column's rows meet some of its rows, its hubs, and the links found join components; what is
+left in several components meets other hubs, in a few rounds. So a group of near copies costs a row or two for each of them, not for each pair. No link that matters
 to a component is lost.
 
 No task takes a whole column of any length: entries of columns that the sketch takes for frequent are dealt by column and a
@@ -49,6 +49,10 @@ BLOCK = 1024
 SPLIT, TIMES = 4096, 4
 #: Rows of one text are dealt to so many tasks when they meet their component.
 SHARES = 16
+#: Entries of the product that a task holds before it sums them by pair.
+PRODUCT = 200_000
+#: Seeds of the hubs, round by round.
+HUBS = ((1, 2), (3, 4, 5))
 #: Entries of a block of whole rows.
 ENTRIES = 400_000
 #: Numbers of rows without an id begin here.
@@ -178,25 +182,23 @@ def _may_reach(size_x: Column, size_y: Column, c: Column, percent: int) -> Colum
     return (c + rest) * (100 + percent) >= percent * (size_x + size_y)
 
 
-def _with_hubs(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of a column's rows with its least row, and with the least one of their own size class, as far as their sizes allow a link."""
-    step = float(np.log(100 / percent))
-    size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(step))
-    rows = columns.withColumn("class", size_class)
-    least = F.min(F.struct("size", "node")).alias("hub")  # in part before the shuffle
-    of_all = columns.groupBy("shingle").agg(least).join(_shares(columns), "shingle").select("shingle", "salt", "hub")
-    of_class = rows.groupBy("shingle", "class").agg(least).join(rows.select("shingle", "class", "salt").distinct(), ["shingle", "class"]).select("shingle", "class", "salt", "hub")
-    near = (F.col("node") != F.col("hub.node")) & (100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size"))
-    met = [h.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")) for h in (columns.join(of_all, ["shingle", "salt"]).where(near), rows.join(of_class, ["shingle", "class", "salt"]).where(near))]
-    return met[0].unionByName(met[1]).distinct()
+def _with_hubs(columns: DataFrame, percent: int, seeds: tuple[int, ...]) -> DataFrame:
+    """Pairs (x, y) of a column's rows with its hubs, as far as sizes allow a link and they aren't in one component: the smallest row, and those picked by a hash, which columns of one group have in common."""
+    row = F.struct("size", "node", "label")
+    picks = [F.min(row), *(F.min_by(row, F.xxhash64(F.lit(seed), "node")) for seed in seeds)]  # in part before the shuffle
+    hubs = columns.groupBy("shingle").agg(F.array(*picks).alias("hubs")).withColumn("hubs", F.array_distinct("hubs"))
+    of_shares = hubs.join(_shares(columns), "shingle").select("shingle", "salt", F.explode("hubs").alias("hub"))
+    near = (F.col("label") != F.col("hub.label")) & (100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size"))
+    return columns.join(of_shares, ["shingle", "salt"]).where(near).select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
 
 
 def _in_blocks(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows in different components whose overlap, accumulated over all columns, may reach the threshold. columns: with label and bits."""
+    """Pairs (x, y) of rows in different components whose overlap, accumulated over all columns, may reach the threshold. columns: with label, bits and family."""
     blocks = F.expr(f"(m + {BLOCK - 1}) div {BLOCK}")
     rows = columns.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "weight", "node", "size", "label", "bits")
-    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    # Columns of one family of rows go to one task, where the weights of a pair meet; a family of many rows is dealt by block.
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "weight", "node", "size", "label", "bits", "family")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("shingle", "i", "j").drop("family")
     names = ["x", "y", "c", "size_x", "size_y"]
 
     def multiply(block: pa.Table):
@@ -225,20 +227,23 @@ def _in_blocks(columns: DataFrame, percent: int) -> DataFrame:
             c = np.add.reduceat(rows[:, 2], new) if len(new) else rows[:, 2]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[new, 0], rows[new, 1], c, rows[new, 3], rows[new, 4])], names=names)
 
+        found: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            found: list = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if waiting and tuple(waiting[-1].column(c)[-1].as_py() for c in range(3)) != tuple(key[a]):
                     found += multiply(pa.Table.from_batches(waiting))
                     waiting = []
+                    if sum(map(len, found)) > PRODUCT:
+                        yield closed(found)
+                        found = []
                 waiting.append(batch.slice(a, b - a))
-            yield closed(found)
         if waiting:
-            yield closed(list(multiply(pa.Table.from_batches(waiting))))
+            found += multiply(pa.Table.from_batches(waiting))
+        yield closed(found)
 
     product = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).groupBy("x", "y").agg(F.sum("c").alias("c"), F.first("size_x").alias("size_x"), F.first("size_y").alias("size_y"))
     return product.where(_may_reach(F.col("size_x"), F.col("size_y"), F.col("c"), percent)).select("x", "y")
@@ -334,19 +339,29 @@ def _linked(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Da
         return _of_nodes(ids, docs, text, doc_id, n, "row binary", lambda r: {"row": r.tobytes()})
 
 
-    labels = None
-    pairs = written(_with_hubs(columns, percent), "pairs")
-    links = written(_verified(pairs, marks, rows_of, percent), "links")
-    if links.limit(1).count():
-        labels = components(links)
-    # All columns of two components or more, so that a pair's overlap is accumulated in full.
-    labelled = columns.withColumn("label", F.col("node")) if labels is None else columns.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
-    opened = labelled.join(several, "shingle", "left_semi").join(marks.select(F.col("id").alias("node"), "bits"), "node")
-    pairs = written(_in_blocks(opened, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
-    more = written(_verified(pairs, marks, rows_of, percent), "links")
-    if more.limit(1).count():
-        labels = components(more if labels is None else more.unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y"))))
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        return columns.withColumn("label", F.col("node")) if labels is None else columns.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def several(labels: DataFrame | None) -> DataFrame:
+        """Entries of columns with rows of two components or more; all of them, so that a pair's overlap is accumulated in full."""
+        rows = labelled(labels)
+        found = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("node", F.xxhash64(F.lit(9), "node")).alias("family"))
+        return rows.join(found.where("a < b").join(_shares(rows), "shingle").select("shingle", "salt", "family"), ["shingle", "salt"])
+
+    def joined_by(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        if not links.limit(1).count():
+            return labels
+        return components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y"))))
+
+    labels = tested = None
+    for seeds in HUBS:
+        pairs = _with_hubs(several(labels), percent, seeds)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = joined_by(written(_verified(pairs, marks, rows_of, percent), "links"), labels)
+    opened = several(labels).join(marks.select(F.col("id").alias("node"), "bits"), "node")
+    pairs = written(_in_blocks(opened, percent).join(tested, ["x", "y"], "left_anti"), "pairs")
+    labels = joined_by(written(_verified(pairs, marks, rows_of, percent), "links"), labels)
 
     found = numbers.where("copies > 1 or node is null")
     if labels is not None:
