@@ -103,6 +103,6 @@ def segments(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def operations(papers: DataFrame) -> DataFrame:
-    """One row: how papers fare."""
+    """One row: how papers fare. Papers without a page have no time per page."""
     warned = (F.coalesce(F.size("paper.warnings"), F.lit(0)) > 0).cast("double")
-    return papers.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("paper.processingTimeMs") / F.col("paper.document.pageCount")).alias("ms_per_page"), F.avg("paper.overallConfidence").alias("confidence"), F.avg(warned).alias("warning_rate"), F.percentile_approx("paper.processingTimeMs", 0.95).alias("p95_ms"))
+    return papers.agg(F.count(F.lit(1)).alias("n"), F.avg(F.try_divide("paper.processingTimeMs", "paper.document.pageCount")).alias("ms_per_page"), F.avg("paper.overallConfidence").alias("confidence"), F.avg(warned).alias("warning_rate"), F.percentile_approx("paper.processingTimeMs", 0.95).alias("p95_ms"))

@@ -76,12 +76,18 @@ def _orphan(requests: DataFrame, parents: dict[str, DataFrame], name: str) -> Da
     return requests.withColumn("orphan", orphan).drop(*(f"_p{i}" for i in range(len(TABLES[name].parents))))
 
 
+def _required(password_hash: Column | None) -> Column:
+    if password_hash is None:
+        raise ValueError("writing an account needs a hasher: its password_hash is never null")
+    return password_hash
+
+
 def create(table: DataFrame, requests: DataFrame, name: str, now: str, parents: dict[str, DataFrame] | None = None, password_hash: Column | None = None) -> DataFrame:
     """A row per request: ordinal, outcome, violations and all columns of the table, as they are stored."""
     spec = TABLES[name]
     checked = validated(requests, name).withColumn("_broken", F.size("violations") > 0)
     if name == "accounts":
-        checked = checked.withColumn("_hash", password_hash if password_hash is not None else F.lit(None).cast("string"))
+        checked = checked.withColumn("_hash", _required(password_hash))
     checked = checked.withColumns({c: f() for c, f in NORMALISED[name].items()})
     years = F.coalesce(F.col("start_year") >= F.col("end_year"), F.lit(False)) if name == "school_years" else F.lit(False)
     checked = _orphan(checked, parents or {}, name).withColumn("_years", years).withColumn("_valid", ~F.col("_broken") & ~F.col("_years") & ~F.col("orphan"))
@@ -108,15 +114,15 @@ def _first_for_id(requests: DataFrame) -> DataFrame:
     return requests.withColumn("_first", F.row_number().over(Window.partitionBy("id").orderBy("ordinal")) == 1)
 
 
-def update(table: DataFrame, requests: DataFrame, name: str, now: str, parents: dict[str, DataFrame] | None = None, password_hash: Column | None = None) -> DataFrame:
-    """requests: id and a create's fields. All fields are replaced, nulls too, but: a school year's missing years and a session's missing expiry are kept."""
+def update(table: DataFrame, requests: DataFrame, name: str, now: str, parents: dict[str, DataFrame] | None = None, password_hash: Column | None = None, whole: bool = False) -> DataFrame:
+    """requests: id and a create's fields. All fields are replaced, nulls too, but: a school year's missing years (unless the request must be `whole`) and a session's missing expiry are kept."""
     spec = TABLES[name]
     checked = validated(requests, name)
-    if name == "school_years":  # its missing years mean the stored ones
+    if name == "school_years" and not whole:  # its missing years mean the stored ones
         checked = checked.withColumn("violations", F.filter("violations", lambda v: v["rule"] != "not_null"))
     checked = checked.withColumn("_broken", F.size("violations") > 0)
     if name == "accounts":
-        checked = checked.withColumn("_hash", password_hash if password_hash is not None else F.lit(None).cast("string"))
+        checked = checked.withColumn("_hash", _required(password_hash))
     checked = _first_for_id(checked.withColumns({c: f() for c, f in NORMALISED[name].items()}))
     old = table.where(is_active()).select(F.col("id").alias("_id"), *(F.col(n).alias(f"old_{n}") for n, _, _ in spec.columns if n != "id"))
     joined = checked.join(old, checked["id"] == F.col("_id"), "left").withColumn("_found", F.col("_id").isNotNull())

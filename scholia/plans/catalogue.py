@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions.passwords import Pbkdf2Hasher, hash_column, matches_column
@@ -41,7 +41,7 @@ def _columns(table: str) -> str:
 
 #: Ids that hit an active and (where the data has a fixed one) a trashed row. Fixed values.
 _ACTIVE_ID = {"accounts": 1, "users": 2, "sessions": 1, "roles": 1, "courses": 1, "school_years": 1, "terms": 1}
-_TRASHED_ID = {"accounts": 7, "users": 1, "sessions": 0, "roles": 6, "courses": 2, "school_years": 4, "terms": 3}
+_TRASHED_ID = {"accounts": 7, "users": 1, "sessions": 0, "roles": 6, "courses": 55, "school_years": 4, "terms": 3}
 
 for _t in SERVED:
     _add(f"{_t}_active", lambda s, d, t=_t: reads.active(load(s, d, t), t), f"SELECT {_columns(_t)} FROM {_t} WHERE deleted_at IS NULL", _t)
@@ -70,9 +70,10 @@ _by("links_by_account_active", "account_roles", "account_id = 1 AND deleted_at I
 _by("links_by_role_active", "account_roles", "role_id = 1 AND deleted_at IS NULL", lambda df: reads.active_by(df, "account_roles", role_id=1))
 _by("links_by_account_trash", "account_roles", "account_id = 1 AND deleted_at IS NOT NULL", lambda df: reads.trash_by(df, "account_roles", account_id=1))
 _by("links_by_role_trash", "account_roles", "role_id = 1 AND deleted_at IS NOT NULL", lambda df: reads.trash_by(df, "account_roles", role_id=1))
-_by("link_active", "account_roles", "account_id = 1 AND role_id = 2 AND deleted_at IS NULL", lambda df: reads.active_by(df, "account_roles", account_id=1, role_id=2))
+_by("link_active", "account_roles", "account_id = 0 AND role_id = 11 AND deleted_at IS NULL", lambda df: reads.active_by(df, "account_roles", account_id=0, role_id=11))
 _by("link_any_state", "account_roles", "account_id = 1 AND role_id = 4", lambda df: reads.any_state_by(df, "account_roles", account_id=1, role_id=4))
 _add("link_exists", lambda s, d: reads.exists_active_by(load(s, d, "account_roles"), account_id=1, role_id=2), "SELECT count(*) > 0 AS found FROM account_roles WHERE account_id = 1 AND role_id = 2 AND deleted_at IS NULL", "account_roles")
+_add("link_exists_found", lambda s, d: reads.exists_active_by(load(s, d, "account_roles"), account_id=0, role_id=11), "SELECT count(*) > 0 AS found FROM account_roles WHERE account_id = 0 AND role_id = 11 AND deleted_at IS NULL", "account_roles")
 
 for _t in ("sessions", "users"):
     _add(f"{_t}_count_of_account", lambda s, d, t=_t: reads.count_active_by(load(s, d, t), account_id=1), f"SELECT count(*) AS n FROM {_t} WHERE account_id = 1 AND deleted_at IS NULL", _t)
@@ -152,9 +153,13 @@ def _sql_create(request: str, table: str, fields: dict[str, str], broken: str, k
             SELECT *, NOT broken AND NOT bad_years AND NOT orphan AS valid FROM (SELECT ordinal, {norm}, {broken} AS broken, {years} AS bad_years, {orphan} AS orphan FROM {_req(request)} r)) n))"""
 
 
+def _hashed(table: str) -> Column | None:
+    return hash_column(F.col("password"), Pbkdf2Hasher()) if table == "accounts" else None
+
+
 def _create(name: str, table: str, out: list[str], parents: tuple[str, ...] = (), **sql) -> None:
     def query(s: SparkSession, d: str) -> DataFrame:
-        found = mutations.create(load(s, d, table), requests(s, d, name), table, NOW, {p: load(s, d, p) for p in parents})
+        found = mutations.create(load(s, d, table), requests(s, d, name), table, NOW, {p: load(s, d, p) for p in parents}, _hashed(table))
         return found.select("ordinal", "outcome", "id", *out)
 
     _add(name, query, _sql_create(name, table, out=out, **sql), table, *parents)
@@ -182,7 +187,7 @@ def _update(name: str, table: str, fields: dict[str, str], keys: list[list[str]]
                 FROM {_req(name)} r LEFT JOIN {table} o ON o.id = r.id AND o.deleted_at IS NULL))) n))"""
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        found = mutations.update(load(s, d, table), requests(s, d, name), table, NOW, {p: load(s, d, p) for p in parents})
+        found = mutations.update(load(s, d, table), requests(s, d, name), table, NOW, {p: load(s, d, p) for p in parents}, _hashed(table))
         return found.select("ordinal", "outcome", *TABLES[table].response)
 
     _add(name, query, sql, table, *parents)
@@ -212,6 +217,26 @@ _add(
     f"SELECT r.ordinal, CASE WHEN a.id IS NULL THEN 'bad_state' WHEN r.id IN (SELECT account_id FROM users) OR r.id IN (SELECT account_id FROM sessions) OR r.id IN (SELECT account_id FROM account_roles) THEN 'internal' ELSE 'ok' END AS outcome, r.id FROM {_req('ids')} r LEFT JOIN accounts a ON a.id = r.id AND a.deleted_at IS NOT NULL",
     "accounts", "users", "sessions", "account_roles",
 )
+# The same three changes of the other tables. Requests ask for ids that are active, trashed, used and unknown.
+for _t in (t for t in SERVED if t != "accounts"):
+    _shown = [n for n in TABLES[_t].response if n != "id"]
+    _stamp = {"updated_at": _NOW_SQL} if TABLES[_t].audited else {}
+    for _name, _change, _where, _code, _gone in (("soft_delete", mutations.soft_delete, "a.deleted_at IS NULL", "not_found", _NOW_SQL), ("restore", mutations.restore, "a.deleted_at IS NOT NULL", "bad_state", "CAST(NULL AS TIMESTAMP)")):
+        _values = _stamp | {"deleted_at": _gone}
+        _body = ", ".join(f"{_values[n]} AS {n}" if n in _values else f"a.{n}" for n in _shown)
+        _add(
+            f"{_t}_{_name}",
+            lambda s, d, t=_t, change=_change: change(load(s, d, t), requests(s, d, "ids"), t, NOW).select("ordinal", "outcome", *TABLES[t].response),
+            f"SELECT r.ordinal, {_outcome(('a.id IS NULL', _code))} AS outcome, r.id, {_body} FROM {_req('ids')} r LEFT JOIN {_t} a ON a.id = r.id AND {_where}", _t,
+        )
+    _children = [(c, column) for c, spec in TABLES.items() for column, parent in spec.parents if parent == _t]
+    _used = " OR ".join(f"EXISTS (SELECT 1 FROM {c} x WHERE x.{column} = r.id)" for c, column in _children) or "false"
+    _add(
+        f"{_t}_hard_delete",
+        lambda s, d, t=_t, children=_children: mutations.hard_delete(load(s, d, t), requests(s, d, "ids"), t, [(load(s, d, c), column) for c, column in children]),
+        f"SELECT r.ordinal, {_outcome(('a.id IS NULL', 'bad_state'), (_used, 'internal'))} AS outcome, r.id FROM {_req('ids')} r LEFT JOIN {_t} a ON a.id = r.id AND a.deleted_at IS NOT NULL", _t, *(c for c, _ in _children),
+    )
+
 _add(
     "hard_delete_applied",
     lambda s, d: (lambda links: mutations.apply_hard_delete(links, mutations.hard_delete(links, links.select(F.col("id").alias("ordinal"), "id"), "account_roles")))(load(s, d, "account_roles")),
@@ -289,12 +314,13 @@ _add("verify_password", _verify_password)
 
 # Planned in the reference.
 
-_add("ocr_metadata", lambda s, d: documents.metadata_rows(papers(s)), PAPERS_SQL["metadata"])
-_add("ocr_questions", lambda s, d: documents.questions(papers(s)), PAPERS_SQL["questions"])
-_add("ocr_options", lambda s, d: documents.options(papers(s)), PAPERS_SQL["options"])
-_add("ocr_review_flags", lambda s, d: documents.review_flags(papers(s)), PAPERS_SQL["review_flags"])
-_add("ocr_school_years", lambda s, d: documents.school_years_to_create(papers(s), load(s, d, "school_years")), PAPERS_SQL["school_years"], "school_years")
-_add("ocr_operations", lambda s, d: documents.operations(papers(s)), PAPERS_SQL["operations"])
+_add("ocr_metadata", lambda s, d: documents.metadata_rows(papers(s, d)), PAPERS_SQL["metadata"])
+_add("ocr_questions", lambda s, d: documents.questions(papers(s, d)), PAPERS_SQL["questions"])
+_add("ocr_confident_questions", lambda s, d: documents.questions(documents.confident_questions(papers(s, d))).drop("order_index"), PAPERS_SQL["confident_questions"])
+_add("ocr_options", lambda s, d: documents.options(papers(s, d)), PAPERS_SQL["options"])
+_add("ocr_review_flags", lambda s, d: documents.review_flags(papers(s, d)), PAPERS_SQL["review_flags"])
+_add("ocr_school_years", lambda s, d: documents.school_years_to_create(papers(s, d), load(s, d, "school_years")), PAPERS_SQL["school_years"], "school_years")
+_add("ocr_operations", lambda s, d: documents.operations(papers(s, d)), PAPERS_SQL["operations"])
 
 
 def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:

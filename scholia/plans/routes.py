@@ -96,7 +96,7 @@ class Service:
         return Answer(status, status, reads.response(fixed, table) if status == 200 else None, None, {table: mutations.apply_changed(self.tables[table], fixed, table)})
 
     def update(self, table: str, row_id: int, body: str | None) -> Answer:
-        return self._changed(table, mutations.update(self.tables[table], self._request(table, body, row_id), table, self.now, self.tables, self._hash(table)), 200)
+        return self._changed(table, mutations.update(self.tables[table], self._request(table, body, row_id), table, self.now, self.tables, self._hash(table), whole=True), 200)
 
     def state(self, change: Callable, table: str, row_id: int) -> Answer:
         return self._changed(table, change(self.tables[table], self._id(row_id), table, self.now), 204)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -160,3 +162,19 @@ def test_user_of_a_trashed_account(spark):
 def test_shared_keys(spark):
     rows = table(spark, "courses", (1, "A", "same", None, False), (2, "B", "same", None, False), (3, "C", "other", None, False))
     assert sorted((r["id"], r["first_id"]) for r in reads.same_key_other_id(rows, ["name"]).collect()) == [(1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("change", [mutations.create, mutations.update])
+def test_an_account_is_not_written_without_a_hasher(spark, change):
+    requests = spark.createDataFrame([(1, 1, "ann", "a@b.c", "long enough")], "ordinal bigint, id bigint, username string, email string, password string")
+    with pytest.raises(ValueError, match="hasher"):
+        change(accounts(spark), requests, "accounts", NOW)
+
+
+def test_a_school_year_is_updated_in_part_unless_it_must_be_whole(spark):
+    from scholia.sources.schemas import TABLES
+
+    years = spark.createDataFrame([(1, 2020, 2021, None, None, None)], TABLES["school_years"].schema)
+    requests = spark.createDataFrame([(1, 1, 2019, None)], "ordinal bigint, id bigint, start_year int, end_year int")
+    assert outcomes(mutations.update(years, requests, "school_years", NOW)) == {1: "ok"}
+    assert outcomes(mutations.update(years, requests, "school_years", NOW, whole=True)) == {1: "validation"}

@@ -6,11 +6,23 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scholia.operators import documents, retrieval
-from scholia.plans.papers import papers
 from scholia.sources import exchange
 from scholia.streaming import reindex
 
 
+def papers(spark):
+    """One paper of two questions, one of one, one of none and without a page."""
+    field = lambda v, c: {"value": v, "confidence": c}
+    ask = lambda n, c, options: {"number": n, "confidence": c, "text": field("t", c), "questionType": field("true_false", c), "maxScore": field(1, c), "options": options}
+    pick = [{"optionLabel": x, "optionText": x, "confidence": 0.9} for x in "AB"]
+    rows = [
+        {"status": "success", "requestId": "one", "processingTimeMs": 1000, "document": {"pageCount": 2}, "questions": [ask(1, 0.9, []), ask(2, 0.85, pick)]},
+        {"status": "partial", "requestId": "three", "processingTimeMs": 900, "document": {"pageCount": 1}, "questions": [ask(1, 0.2, None)]},
+        {"status": "error", "requestId": "two", "processingTimeMs": 7, "document": {"pageCount": 0}},
+    ]
+    return documents.parse(spark.createDataFrame([(json.dumps(r),) for r in rows], "body string"))
+
+
 def test_what_is_no_paper_has_no_status(spark):
     raw = spark.createDataFrame([("no json",), (json.dumps({"status": "odd"}),), (None,)], "body string")
     assert [r["status"] for r in documents.review_flags(documents.parse(raw)).collect()] == [None, None, None]
@@ -34,7 +46,7 @@ def test_segments(spark):
 
 def test_operations(spark):
     r = documents.operations(papers(spark)).collect()[0]
-    assert (r["n"], r["ms_per_page"]) == (3, (1500 + 3000) / 2)
+    assert (r["n"], r["ms_per_page"]) == (3, (500 + 900) / 2)
 
 
 def test_references(spark):
