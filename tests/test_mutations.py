@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -172,9 +171,10 @@ def test_an_account_is_not_written_without_a_hasher(spark, change):
 
 
 def test_a_school_year_is_updated_in_part_unless_it_must_be_whole(spark):
-    from scholia.sources.schemas import TABLES
+    from datetime import datetime
 
-    years = spark.createDataFrame([(1, 2020, 2021, None, None, None)], TABLES["school_years"].schema)
+    moment = datetime(2024, 1, 1)
+    years = spark.createDataFrame([(1, 2020, 2021, moment, moment, None)], TABLES["school_years"].schema)
     requests = spark.createDataFrame([(1, 1, 2019, None)], "ordinal bigint, id bigint, start_year int, end_year int")
     assert outcomes(mutations.update(years, requests, "school_years", NOW)) == {1: "ok"}
     assert outcomes(mutations.update(years, requests, "school_years", NOW, whole=True)) == {1: "validation"}
