@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, one machine), below a temporary one."""
+    """A new folder below spark.checkpoint.dir; where that is unset and the master is local, below a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local.setdefault("root", tempfile.mkdtemp(prefix="scholia-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

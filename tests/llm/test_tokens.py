@@ -146,3 +146,18 @@ def test_shared_folder_is_the_sessions():
         conf = Conf()
 
     assert shared_dir(Session(), "x").startswith("hdfs://cluster/tmp/x-")
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://head:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session(), "x")
