@@ -349,7 +349,7 @@ def _linked(docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> Da
         return rows.join(found.where("a < b").join(_shares(rows), "shingle").select("shingle", "salt", "family"), ["shingle", "salt"])
 
     def joined_by(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-        if not links.limit(1).count():
+        if links.isEmpty():
             return labels
         return components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y"))))
 
