@@ -48,6 +48,8 @@ from scholia.llm.idfilter import IdFilter
 from scholia.llm.tables import fresh, written
 
 SPAN, GRAM, SLICE = 50, 12, 1 << 19
+#: Lengths of the doubling.
+_LENGTHS = (GRAM, 2 * GRAM, 4 * GRAM)
 #: Runs of one gram that step 3 compares at once; those of a gram with more all go to step 4.
 HELD = 50_000
 #: Windows that step 4 settles at once in a task.
@@ -76,7 +78,7 @@ def name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Ranks:
-    """Ranks of all places of a buffer, doubled from 12 bytes on."""
+    """Ranks of all places of a buffer, doubled from 12 bytes on: at all places up to `longest`, beyond it at the places asked for."""
 
     def __init__(self, buf: np.ndarray, longest: int = 48) -> None:
         n = len(buf)
@@ -88,11 +90,16 @@ class Ranks:
             self.levels[2 * size] = name(r[:-size], r[size:]) if len(r) > size else r[:0]
             size *= 2
 
+    def at(self, start: np.ndarray, size: int) -> np.ndarray:
+        """Ranks of buf[start:start + size], a length of the doubling."""
+        if size in self.levels:
+            return self.levels[size][start]
+        return name(self.at(start, size // 2), self.at(start + size // 2, size // 2))
+
     def pair(self, start: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """The two ranks that name buf[start:start + length]; all lengths between one level and twice that."""
-        size = max(x for x in self.levels if x <= np.min(length, initial=1 << 20))
-        r = self.levels[size]
-        return r[start], r[start + length - size]
+        size = max(x for x in _LENGTHS if x <= np.min(length, initial=1 << 20))
+        return self.at(start, size), self.at(start + length - size, size)
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         if not len(start):
@@ -107,7 +114,7 @@ def sampled(docs: list[tuple[int, bytes, int]], span: int, frequent: np.ndarray
     if len(buf) < span:
         return {}
     ends = np.cumsum(sizes)
-    ranks = Ranks(buf)
+    ranks = Ranks(buf, GRAM)  # longer ones are asked for at the sampled places only
     g = ranks.levels[GRAM]
     w = span - GRAM + 1
     v = (g & ~np.uint64(_PLACE)) | np.arange(len(g), dtype=np.uint64)
@@ -154,10 +161,10 @@ def _n(place: np.ndarray) -> np.ndarray:
 
 def _runs_of(docs: list[tuple[int, bytes, int]], span: int, low: int = 0, frequent: np.ndarray | None = None) -> list[np.ndarray] | None:
     """Rows of _SCHEMA: runs of each class's first document, and spans that are repeats already."""
-    r = sampled(docs, span, frequent)
+    r = sampled(sorted(docs, key=lambda d: (d[0], d[2])), span, frequent)
     if not r:
         return None
-    order = np.lexsort((r["start"], r["doc"], r["rank"], r["gram"]))
+    order = np.lexsort((r["rank"], r["gram"]))  # stable: rows stand by doc already
     r = {k: x[order] for k, x in r.items()}
     return _first_and_settled(r["gram"], r["rank"], r["doc"], r["start"] << 32 | r["low"], _n(r["low"]) - 1 + span, low, r["marks"])
 

@@ -23,13 +23,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+#: Numbers mixed at a time: a block and its shifted copy stay in a core's cache.
+_BLOCK = 1 << 14
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit (the finaliser of splitmix64)."""
-    h = h ^ (h >> U64(30))
-    h = h * U64(0xBF58476D1CE4E5B9)
-    h ^= h >> U64(27)
-    h = h * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
+    out = np.array(h, U64, order="C")
+    flat, shifted = out.reshape(-1), np.empty(min(out.size, _BLOCK), U64)
+    for a in range(0, len(flat), _BLOCK):
+        x = flat[a : a + _BLOCK]
+        t = shifted[: len(x)]
+        x ^= np.right_shift(x, U64(30), out=t)
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= np.right_shift(x, U64(27), out=t)
+        x *= U64(0x94D049BB133111EB)
+        x ^= np.right_shift(x, U64(31), out=t)
+    return out
 
 
 def eight(buf: np.ndarray) -> np.ndarray:
