@@ -53,6 +53,8 @@ SHARES = 16
 PRODUCT = 200_000
 #: Seeds of the hubs, round by round.
 HUBS = ((1, 2), (3, 4, 5))
+#: Pairs of rows that are looked at together, and words of their bitmaps that are looked at first.
+PAIRS, FEW = 1 << 15, 8
 #: Entries of a block of whole rows.
 ENTRIES = 400_000
 #: Numbers of rows without an id begin here.
@@ -198,55 +200,78 @@ def _in_blocks(columns: DataFrame, percent: int) -> DataFrame:
     rows = columns.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     # Columns of one family of rows go to one task, where the weights of a pair meet; a family of many rows is dealt by block.
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "weight", "node", "size", "label", "bits", "family")
-    rows = rows.repartition("family", "i", "j").sortWithinPartitions("shingle", "i", "j").drop("family")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("shingle", "i", "j", "own").drop("family")
     names = ["x", "y", "c", "size_x", "size_y"]
+    product = rows.mapInArrow(lambda batches: _products(batches, percent, names), ", ".join(f"{c} bigint" for c in names)).groupBy("x", "y").agg(F.sum("c").alias("c"), F.first("size_x").alias("size_x"), F.first("size_y").alias("size_y"))
+    return product.where(_may_reach(F.col("size_x"), F.col("size_y"), F.col("c"), percent)).select("x", "y")
 
-    def multiply(block: pa.Table):
-        """A block's pairs as (x, y, weight, sizes); those that can't link are 0 in the product and left out."""
-        i, j, own, weight = block["i"][0].as_py(), block["j"][0].as_py(), block["own"].to_numpy(), block["weight"][0].as_py()
-        node, size, label, bits = block["node"].to_numpy(), block["size"].to_numpy(), block["label"].to_numpy(), _words(block["bits"].combine_chunks())
-        place = np.arange(len(node))
-        for a in range(len(node)):
-            if own[a] != i:
-                continue
-            with_ = np.flatnonzero((own == j) & (label != label[a]) & ((place > a) | (i != j)))
-            if len(with_):
-                with_ = with_[_may_link(bits[a], bits[with_], size[a], size[with_], percent)]
-                least = node[with_] < node[a]
-                yield np.stack([np.where(least, node[with_], node[a]), np.where(least, node[a], node[with_]), np.full(len(with_), weight), np.where(least, size[with_], size[a]), np.where(least, size[a], size[with_])], 1)
 
-    def run(batches):
-        waiting: list[pa.RecordBatch] = []
-
-        def closed(found):
-            """Weights summed over the columns at hand."""
-            rows = np.concatenate([np.zeros((0, 5), np.int64), *found])
-            order = np.lexsort((rows[:, 1], rows[:, 0]))
-            rows = rows[order]
-            new = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)][: len(rows)])
-            c = np.add.reduceat(rows[:, 2], new) if len(new) else rows[:, 2]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[new, 0], rows[new, 1], c, rows[new, 3], rows[new, 4])], names=names)
-
-        found: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if waiting and tuple(waiting[-1].column(c)[-1].as_py() for c in range(3)) != tuple(key[a]):
-                    found += multiply(pa.Table.from_batches(waiting))
-                    waiting = []
-                    if sum(map(len, found)) > PRODUCT:
-                        yield closed(found)
-                        found = []
-                waiting.append(batch.slice(a, b - a))
-        if waiting:
-            found += multiply(pa.Table.from_batches(waiting))
-        yield closed(found)
-
-    product = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).groupBy("x", "y").agg(F.sum("c").alias("c"), F.first("size_x").alias("size_x"), F.first("size_y").alias("size_y"))
-    return product.where(_may_reach(F.col("size_x"), F.col("size_y"), F.col("c"), percent)).select("x", "y")
+def _products(batches, percent: int, names: list[str]):
+    """The product's entries (x, y, weight, sizes), weights summed over the columns at hand. batches: rows in the order of (shingle, i, j, own);
+    all blocks that end in a batch are multiplied at once, as most are of a few rows. Pairs that can't link are 0 in the product and left out."""
+    found: list[np.ndarray] = []
+
+    def closed():
+        rows = np.concatenate([np.zeros((0, 5), np.int64), *found])
+        found.clear()
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)][: len(rows)])
+        c = np.add.reduceat(rows[:, 2], new) if len(new) else rows[:, 2]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[new, 0], rows[new, 1], c, rows[new, 3], rows[new, 4])], names=names)
+
+    def multiplied(rows: pa.Table, starts: np.ndarray):
+        """rows: whole blocks, that begin at starts."""
+        i, j, own, weight, node, size, label = (rows[c].to_numpy() for c in ("i", "j", "own", "weight", "node", "size", "label"))
+        bits = _words(rows["bits"])
+        size = size.astype(np.int64)
+        at = np.arange(len(own))
+        lengths = np.diff(np.r_[starts, len(own)])
+        # A row meets those after it in a block of i = j, else a row of i those of j, which end the block.
+        of_i = np.add.reduceat((own == i).astype(np.int64), starts)
+        first = np.where(i == j, at + 1, np.repeat(starts + of_i, lengths))
+        met = np.where(own == i, np.repeat(starts + lengths, lengths) - first, 0)
+        ends = np.cumsum(met)
+        for a, b in _pieces(ends):
+            n = met[a:b]
+            left = np.repeat(at[a:b], n)
+            right = np.repeat(first[a:b] - (ends[a:b] - n), n) + np.arange(ends[a] - met[a], ends[b - 1])
+            near = (label[left] != label[right]) & (100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right]))
+            for some in (FEW, None):  # a part of the bits settles most pairs
+                left, right = left[near], right[near]
+                near = _may_link(bits[left, :some], bits[right, :some], size[left], size[right], percent)
+            left, right = left[near], right[near]
+            least, most = np.where(node[left] < node[right], (left, right), (right, left))
+            yield np.stack([node[least], node[most], weight[left], size[least], size[most]], 1)
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        key = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")], 1)
+        starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
+        held = rows.slice(starts[-1])
+        if len(starts) > 1:
+            for block in multiplied(rows.slice(0, starts[-1]), starts[:-1]):
+                found.append(block)
+                if sum(map(len, found)) > PRODUCT:
+                    yield closed()
+    if held is not None:
+        for block in multiplied(held, np.zeros(1, np.int64)):
+            found.append(block)
+            if sum(map(len, found)) > PRODUCT:
+                yield closed()
+    yield closed()
+
+
+def _pieces(ends: np.ndarray):
+    """Ranges (a, b) of rows that make PAIRS pairs together, or one row's. ends: the pairs up to each row's end."""
+    a = done = 0
+    while done < (ends[-1] if len(ends) else 0):
+        b = max(a + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        yield a, b
+        a, done = b, ends[b - 1]
 
 
 def _of_nodes(nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, what: str, describe) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +355,40 @@ def test_accumulated_overlaps_bound_the_whole_overlap(spark):
     assert spark.createDataFrame([(100, 100, 1), (100, 100, 8)], "a bigint, b bigint, c bigint").where(ngram_jaccard._may_reach(F.col("a"), F.col("b"), F.col("c"), 80)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 15])
+@pytest.mark.parametrize("cut", [3, 1000])
+def test_blocks_are_multiplied_together(monkeypatch, pairs, cut):
+    """The product of 600 columns, most of two or three rows, equals plain loops; its passes follow the pairs at hand, not the columns."""
+    monkeypatch.setattr(ngram_jaccard, "PAIRS", pairs)
+    rng, passes = random.Random(pairs), []
+    may_link = ngram_jaccard._may_link
+    monkeypatch.setattr(ngram_jaccard, "_may_link", lambda *a: passes.append(len(a[0])) or may_link(*a))
+    base = np.arange(1, 61, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.sort(np.r_[base[: 60 - rng.randrange(9)], np.array([rng.getrandbits(64) for _ in range(rng.choice([0, 2, 40]))], np.uint64)]) for _ in range(80)]
+    rows, plain = [], Counter()
+    for shingle in range(600):
+        i, j = rng.choice([(0, 0), (0, 1), (2, 2), (1, 2)])
+        mine = [(rng.choice([i, j]), rng.randrange(80)) for _ in range(rng.choice([1, 2, 2, 3, 30 if shingle % 50 == 0 else 2]))]
+        mine = sorted({node: own for own, node in mine}.items(), key=lambda x: x[1])
+        weight = rng.randrange(1, 4)
+        rows += [{"shingle": shingle, "i": i, "j": j, "own": own, "weight": weight, "node": node, "size": len(sets[node]), "label": node % 70, "bits": ngram_jaccard.bitmap(sets[node])} for node, own in mine]
+        for (x, a), (y, b) in itertools.combinations(mine, 2):
+            if (i == j or a != b) and x % 70 != y % 70:
+                differ = sum((p ^ q).bit_count() for p, q in zip(ngram_jaccard.bitmap(sets[x]), ngram_jaccard.bitmap(sets[y]), strict=True))
+                small, large = sorted((len(sets[x]), len(sets[y])))
+                if 100 * small >= 80 * large and 180 * differ <= 20 * (small + large):
+                    plain[min(x, y), max(x, y), len(sets[min(x, y)]), len(sets[max(x, y)])] += weight
+    table = pa.Table.from_pylist(rows)
+    batches = [b for a in range(0, len(rows), cut) for b in table.slice(a, cut).to_batches()]
+    got = Counter()
+    for batch in ngram_jaccard._products(iter(batches), 80, ["x", "y", "c", "size_x", "size_y"]):
+        for r in batch.to_pylist():
+            got[r["x"], r["y"], r["size_x"], r["size_y"]] += r["c"]
+    assert got == plain and len(plain) > 50
+    if pairs > 7 and cut > 3:
+        assert len(passes) < 20
+
+
 def test_near_copies_without_an_id_link(spark):
     words = [f"w{i}" for i in range(120)]
     chain = []
